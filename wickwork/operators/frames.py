@@ -89,7 +89,7 @@ def _own(rows: DataFrame) -> DataFrame:
 
 def _values(name: str, frame: WindowSpec) -> Column:
     """A column's values in the frame, nulls included (on their own they would be left out)."""
-    return F.collect_list(F.struct(name)).over(frame)[name]
+    return F.flatten(F.collect_list(F.array(name)).over(frame))
 
 
 def _rows(names: Sequence[str], frame: WindowSpec) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from wickwork.functions import records
 from wickwork.operators import candles as cd
 from wickwork.operators import fills, frames
-from wickwork.schema import CANDLE_COLUMNS, CANDLE_SCHEMA, ENTITY_MARKS, FLUSH_ROWS
+from wickwork.schema import CANDLE_COLUMNS, ENTITY_MARKS, FLUSH_ROWS
 from wickwork.session import scratch_path, ship_package, use_utc
 from wickwork.sources import events as ev
 from wickwork.sources import ranges, tables
@@ -47,8 +47,20 @@ def query(sql: str) -> Callable[[Query], Query]:
 # Inputs ---------------------------------------------------------------------------------------
 
 
+# Declared, so that no job has to open files to find them out.
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+ORDERS = (
+    "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+    "o_orderpriority string"
+)
+
+
+def orders_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(ORDERS).parquet(f"{sf_dir}/orders.parquet")
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
     return events.select(F.col("event_type").alias("symbol"), "ts", "value", "event_id", "user_id")
 
 
@@ -69,7 +81,7 @@ def patchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as dated prices per priority: several rows per day, no rows on every seventh day of
     a year, and no price for some."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.dayofyear("o_orderdate") % 7 != 0)
+    orders = orders_of(spark, sf_dir).where(F.dayofyear("o_orderdate") % 7 != 0)
     price = F.when(F.col("o_custkey") % 5 != 0, F.col("o_totalprice"))
     return orders.select(
         F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ds"), price.alias("y"), "o_orderkey"
@@ -78,7 +90,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One candle per day, all orders together."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("ts", F.col("o_orderdate").cast("timestamp"))
+    orders = orders_of(spark, sf_dir).withColumn("ts", F.col("o_orderdate").cast("timestamp"))
     days = cd.ohlcv_candles(orders, "o_totalprice", "ts", (), 86_400)
     return days.select(F.col("ts").alias("Timestamp"), *[F.col(name).alias(name.title()) for name in PRICES])
 
@@ -223,7 +235,7 @@ def event_json_encode(spark, sf_dir):
     "'%Y-%m-%d %H:%M:%S') || '\",\"Volume\":' || o_orderkey || '}' AS value FROM orders"
 )
 def topic_peek(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = orders_of(spark, sf_dir)
     dated = orders.select(F.col("o_orderdate").cast("timestamp").alias("Timestamp"), F.col("o_orderkey").alias("Volume"))
     return ev.peek(records.encode_events(dated, fields=["Timestamp", "Volume"]))
 
@@ -232,7 +244,7 @@ YEARS_SQL = "SELECT o_orderkey, o_orderdate AS timestamp, o_totalprice, CAST(yea
 
 
 def _orders_table(spark, sf_dir, name, appends: int = 1) -> str:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = orders_of(spark, sf_dir)
     rows = orders.select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("Timestamp"), "o_totalprice")
     table = new_table(spark, name, rows.schema)
     for part in range(appends):
@@ -397,7 +409,7 @@ def load_count(spark, sf_dir):
 
 @query("SELECT o_custkey, o_orderdate, max(o_totalprice) AS o_totalprice FROM orders GROUP BY 1, 2")
 def dedup_keep_last(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderdate", "o_totalprice")
+    orders = orders_of(spark, sf_dir).select("o_custkey", "o_orderdate", "o_totalprice")
     return cd.dedup(orders, ["o_custkey", "o_orderdate"], arrival="o_totalprice", keep="last")
 
 
@@ -451,7 +463,7 @@ def date_spine(spark, sf_dir):
           WHERE o_orderdate > '1995-01-10' GROUP BY 1)"""
 )
 def date_spine_months(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.col("o_orderdate") > "1995-01-10")
+    orders = orders_of(spark, sf_dir).where(F.col("o_orderdate") > "1995-01-10")
     dated = orders.select(F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ds"))
     return fills.date_spine(dated, "ds", freq="MS")
 

@@ -105,17 +105,19 @@ def read_range(spark: SparkSession, table: str, start: str, end: str, ts: str =
     return df
 
 
-def _laid_out(df: DataFrame, spark: SparkSession, table: str, ts: str, grain: str | None) -> DataFrame:
-    """Columns in the table's order; rows in files which each hold a stretch of one partition.
+def _laid_out(df: DataFrame, ts: str, table: str, grain: str | None, clustered: bool) -> DataFrame:
+    """Columns in the table's order, few files per partition, each sorted by time.
 
-    The range shuffle cuts a hot partition into many tasks, keeps the files of one partition few,
-    and gives each file a narrow range of times for readers to skip it by.
+    The rebalance hint lets AQE cut a hot partition into many tasks and join small ones, and reads
+    the source once. ``clustered`` cuts by ranges of time instead, so that readers can skip files
+    by time; to find the ranges Spark goes over the source twice.
     """
     if grain and grain not in df.columns:
         df = with_partition(df, ts, grain)
-    df = df.select(*spark.table(table).columns)
+    df = df.select(*df.sparkSession.table(table).columns)
     order = [name for name in (grain, ts) if name]
-    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+    df = df.repartitionByRange(*order) if clustered else df.hint("rebalance", *order[:-1])
+    return df.sortWithinPartitions(*order)
 
 
 def append(
@@ -124,12 +126,12 @@ def append(
     ts: str = "Timestamp",
     max_rows_per_file: int | None = None,
     observe_as: Observation | None = None,
+    clustered: bool = False,
 ) -> None:
-    """Append in time order. ``observe_as`` gets the number of rows written as ``rows``, counted
-    while they pass, so that the source is not read again for it."""
+    """Append the rows, each file in time order. ``observe_as`` gets the number of rows written as
+    ``rows``, counted while they pass, so that the source is not read again for it."""
     spark = df.sparkSession
-    grain = partition_column(spark, table)
-    rows = _laid_out(df, spark, table, ts, grain)
+    rows = _laid_out(df, ts, table, partition_column(spark, table), clustered)
     if observe_as is not None:
         rows = rows.observe(observe_as, F.count(F.lit(1)).alias("rows"))
     if supports_merge(spark, table):
@@ -197,7 +199,7 @@ def upsert(
         if changed:
             kept = target.where(in_changed).join(source.where(in_changed), keys, "left_anti")
             rewritten = kept.unionByName(source.where(in_changed).select(*kept.columns))
-            _replace_partitions(_laid_out(rewritten, spark, table, ts, grain), table)
+            _replace_partitions(_laid_out(rewritten, ts, table, grain, clustered=True), table)
         if len(changed) < len(ranges):
             append(source.where(~in_changed), table, ts)
     finally:
