@@ -1,0 +1,123 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from wickwork.functions import records
+from wickwork.operators import candles as cd
+from wickwork.schema import CANDLE_COLUMNS, CANDLE_SCHEMA
+from wickwork.sources.chunks import range_chunks
+from wickwork.sources.events import peek
+from wickwork.sources.tables import entity_defaults
+
+GOOD = '{"Timestamp": "2024-12-03 20:03:00", "Low": 1.5, "High": 2.0, "Open": 1.6, "Close": 1.75, "Volume": 3.25}'
+
+
+def events(spark, *values):
+    rows = [(None, value.encode() if isinstance(value, str) else value) for value in values]
+    return spark.createDataFrame(rows, "key binary, value binary")
+
+
+def test_parse_and_rejects(spark):
+    bad_time = '{"Timestamp": "soon", "Low": 9.0}'
+    df = events(spark, GOOD, "not json", None, bad_time, b"\xff\xfe", '{"Timestamp": "2024-12-03 20:04:00"}')
+    good, rejects = records.split_rejects(df)
+    assert [str(row.Timestamp) for row in good.orderBy("Timestamp").collect()] == ["2024-12-03 20:03:00", "2024-12-03 20:04:00"]
+    assert rejects.count() == 4 and rejects.columns == ["key", "value"]
+    parsed = records.parse_events(df)
+    assert parsed.schema == CANDLE_SCHEMA
+    assert parsed.where("Timestamp IS NULL").count() == 4
+    assert parsed.where("Timestamp IS NULL AND Low = 9.0").count() == 1
+
+
+def test_encode(spark):
+    parsed = records.parse_events(events(spark, GOOD))
+    row = records.encode_events(parsed).first()
+    assert bytes(row.key).decode() == "2024-12-03 20:03:00"
+    assert json.loads(bytes(row.value).decode()) == json.loads(GOOD)
+    shown = peek(records.encode_events(parsed.withColumn("Low", F.lit(None).cast("float")))).first()
+    assert shown.key == "2024-12-03 20:03:00"
+    assert json.loads(shown.value)["Low"] is None
+
+
+def test_array_to_candle(spark):
+    df = spark.createDataFrame([([1733256180.0, 1.5, 2.0, 1.6, 1.75, 3.25, 9.0],), ([1733256180.0, 1.5],)], "a array<double>")
+    full, short = (row.c for row in df.select(records.array_to_candle(F.col("a")).alias("c")).collect())
+    assert str(full.Timestamp) == "2024-12-03 20:03:00" and len(full) == len(CANDLE_COLUMNS)
+    assert (full.Low, full.Volume) == (1.5, 3.25)
+    assert (short.Low, short.High, short.Volume) == (1.5, None, None)
+
+
+def test_text_symbol_enrich(spark):
+    df = spark.sql("SELECT timestamp'2024-02-29 01:02:03' AS Timestamp, '2024-02-29 01:02:03' AS text, 'btc' AS entity")
+    row = df.select(
+        records.timestamp_to_text(F.col("Timestamp")).alias("text"),
+        records.text_to_timestamp(F.col("text")).alias("ts"),
+        records.text_to_timestamp(F.lit("2024-02-30 00:00:00")).alias("none"),
+        records.symbol_of_entity(F.col("entity")).alias("symbol"),
+        F.col("Timestamp"),
+    ).first()
+    assert (row.text, row.ts, row.none, row.symbol) == ("2024-02-29 01:02:03", row.Timestamp, None, "BTC-USD")
+    rich = records.enrich(df, "BTC-USD").first()
+    assert (rich.Symbol, rich.Year) == ("BTC-USD", "2024")
+
+
+def test_chunks(spark):
+    rows = [("a", "2024-01-01 00:00:00", "2024-01-01 12:00:00"), ("b", "2024-01-02 00:00:00", "2024-01-01 00:00:00")]
+    rows += [("c", "2024-01-01 00:00:00", "2024-01-01 10:00:00"), ("d", "2024-01-01 00:00:00", "2024-01-01 00:00:00")]
+    df = spark.createDataFrame(rows, "symbol string, start string, end string")
+    df = df.withColumns({"start": F.to_timestamp("start"), "end": F.to_timestamp("end")})
+    found = [(row.symbol, row.start.hour, row.end.hour) for row in range_chunks(df).orderBy("symbol", "start").collect()]
+    assert found == [("a", 0, 5), ("a", 5, 10), ("a", 10, 12), ("c", 0, 5), ("c", 5, 10)]
+    for hours in (6, 0):
+        with pytest.raises(ValueError):
+            range_chunks(df, hours=hours)
+
+
+def arrivals(spark, *times):
+    rows = [("a", i, time) for i, time in enumerate(times)]
+    return spark.createDataFrame(rows, "symbol string, arrival bigint, ts int").repartition(3)
+
+
+@pytest.mark.parametrize("block", [1, 2, None])
+def test_monotonic_filter(spark, block):
+    def kept(df, **options):
+        return [row.ts for row in cd.monotonic_filter(df, block=block, **options).orderBy("arrival").collect()]
+
+    df = arrivals(spark, 5, 3, 6, 6, 9, 2, 10)
+    assert kept(df) == [5, 6, 9, 10]
+    assert kept(df, mark=F.lit(6)) == [9, 10]
+    assert kept(df.drop("symbol"), keys=()) == [5, 6, 9, 10]
+
+
+def test_incremental_filter(spark):
+    df = arrivals(spark, 5, 3, 6, 6, 9).unionByName(spark.sql("SELECT 'b' AS symbol, 0L AS arrival, 1 AS ts"))
+    marks = spark.sql("SELECT 'a' AS symbol, 5 AS mark")
+
+    def kept(*args, **options):
+        return sorted(row.ts for row in cd.incremental_filter(df, *args, **options).collect())
+
+    assert kept(marks) == [1, 6, 6, 9]
+    assert kept(marks, with_first=True) == [1, 3, 6, 6, 9]
+    assert kept(F.lit(6)) == [9]
+    assert kept(F.lit(6), with_first=True) == [1, 3, 9]
+    assert kept(F.lit(6), keys=(), with_first=True) == [1, 9]
+    assert kept(F.lit(None).cast("int")) == [1, 3, 5, 6, 6, 9]
+
+
+def test_dedup_keeps_first_or_last(spark):
+    rows = [("a", 1, 10), ("a", 2, 20), ("b", 3, 30), (None, 4, 40), (None, 5, 50)]
+    df = spark.createDataFrame(rows, "k string, n int, v int")
+    assert sorted(row.v for row in cd.dedup(df, ["k"], arrival="n").collect()) == [10, 30, 40]
+    assert sorted(row.v for row in cd.dedup(df, ["k"], arrival="n", keep="last").collect()) == [20, 30, 50]
+    assert cd.dedup(df, ["k"]).count() == 3
+
+
+def test_marks_and_freshness(spark):
+    df = spark.createDataFrame([("btc", "2024-01-01 00:00:30")], "symbol string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    marks = cd.latest_per_symbol(df, entity_defaults(spark, {"btc": "2015-07-20 21:37:00", "eth": "2016-05-18 00:14:00"}))
+    assert {row.symbol: row.latest for row in marks.collect()} == {"btc": "2024-01-01 00:00:30", "eth": "2016-05-18 00:14:00"}
+    assert cd.latest_timestamp(df.where("false")).first().latest == "2014-01-01 00:00:00"
+    lag = cd.freshness(df, F.to_timestamp(F.lit("2024-01-01 00:01:29"))).first()
+    assert (lag.lag_seconds, lag.fresh) == (59.0, True)
+    assert not cd.freshness(df, F.to_timestamp(F.lit("2024-01-01 00:01:30"))).first().fresh

@@ -38,9 +38,12 @@ _RUN = 4096
 def _spread(rows: DataFrame, low: Column, high: Column, name: str, shuffle_by: Sequence[str] | None = None) -> DataFrame:
     """One row per whole number in ``low``..``high``, in runs of at most ``_RUN``."""
     runs = rows.withColumn("_low", low).withColumn("_high", high).where(F.col("_low") <= F.col("_high"))
-    runs = runs.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), floor_div(F.col("_high") - F.col("_low"), _RUN))))
+    last_run = floor_div(F.col("_high") - F.col("_low"), _RUN)
+    runs = runs.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), last_run)))
     if shuffle_by is not None:
-        runs = runs.repartition(*shuffle_by, "_run")
+        # A stated number, as AQE would join these few rows into one task before they grow.
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        runs = runs.repartition(tasks, *shuffle_by, "_run")
     start = F.col("_low") + F.col("_run") * _RUN
     stop = F.least(start + (_RUN - 1), F.col("_high"))
     return runs.withColumn(name, F.explode(F.sequence(start, stop))).drop("_low", "_high", "_run")
@@ -65,12 +68,24 @@ def date_spine(df: DataFrame, ts: str = "ts", keys: Sequence[str] = ("symbol",),
 
 
 def _anchored(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add the first and last time of the series. No hint: AQE broadcasts the bounds if they turn
-    out small, and splits a hot series in a sort-merge join if not."""
-    bounds = rows.groupBy(*keys).agg(F.min("_t").alias("_min"), F.max("_t").alias("_max"))
-    if not keys:
-        return rows.withColumn("_min", bounds.select("_min").scalar()).withColumn("_max", bounds.select("_max").scalar())
-    return rows.join(bounds, list(keys))
+    """Add the first time of the series. No hint: AQE broadcasts the firsts if they turn out small,
+    and splits a hot series in a sort-merge join if not."""
+    first = rows.groupBy(*keys).agg(F.min("_t").alias("_min"))
+    return rows.join(first, list(keys)) if keys else rows.withColumn("_min", first.scalar())
+
+
+def _on_grid(rows: DataFrame, keys: Sequence[str], freq: Frequency) -> DataFrame:
+    """Add the grid point at or before each row, and whether the row is on it."""
+    rows = _anchored(rows, keys)
+    point = freq.point(freq.ordinal(F.col("_t"), F.col("_min")), F.col("_min"))
+    return rows.withColumn("_point", point).withColumn("_real", F.col("_point") == F.col("_t")).drop("_min")
+
+
+def _grid_slots(rows: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
+    """One row per series and grid point which rows are on, or after and before the next: the
+    last one ends the grid. ``_real`` says whether a row is on it."""
+    slots = rows.groupBy(*keys, "_point").agg(F.max("_real").alias("_real"), *aggregates)
+    return slots.withColumnRenamed("_point", "_t")
 
 
 def _timed(df: DataFrame, ts: str) -> DataFrame:
@@ -118,12 +133,11 @@ def _fill_column(df, value, ts, keys, freq, regular, block_rows, back: bool) ->
     rows = _timed(df, ts)
     slots, names = rows, columns
     if not regular:
-        placed = _anchored(rows, keys)
-        anchor = F.col("_min")
-        rows = placed.where(freq.point(freq.ordinal(F.col("_t"), anchor), anchor) == F.col("_t")).drop("_min", "_max")
-        # One row per time; among copies with different values the largest one counts.
-        slots = rows.groupBy(*keys, "_t").agg(F.max(value).alias(value)).withColumn(ts, from_micros(F.col("_t"), kind))
-        names = [*keys, ts, value]
+        rows = _on_grid(rows, keys, freq)
+        # Among copies of a time with different values the largest one counts.
+        slots = _grid_slots(rows, keys, F.max(F.when(F.col("_real"), F.col(value))).alias(value))
+        slots = slots.withColumn(ts, from_micros(F.col("_t"), kind))
+        names = [*keys, ts, value, "_real"]
 
     edged, ahead_of, back_of = _windowed(slots, keys, freq, [value], block_rows, back)
     so_far = ahead_of.rowsBetween(Window.unboundedPreceding, 0)
@@ -142,10 +156,11 @@ def _fill_column(df, value, ts, keys, freq, regular, block_rows, back: bool) ->
         return points.drop("_here")
 
     # The full rows are on the splittable side of an inner join; gaps carry nothing else.
-    known = points.where("_here").select(*keys, to_micros(F.col(ts)).alias("_t"), F.col(value).alias("_filled"))
-    full = rows.join(known, [*keys, "_t"]).withColumn(value, F.coalesce(value, "_filled")).select(*columns)
-    gaps = points.where(~F.col("_here")).drop("_here")
-    return full.unionByName(gaps, allowMissingColumns=True).select(*columns)
+    real = F.col("_here") & F.coalesce("_real", F.lit(False))
+    known = points.where(real).select(*keys, to_micros(F.col(ts)).alias("_t"), F.col(value).alias("_filled"))
+    full = rows.where("_real").join(known, [*keys, "_t"]).withColumn(value, F.coalesce(value, "_filled"))
+    gaps = points.where(~real).drop("_here", "_real")
+    return full.select(*columns).unionByName(gaps, allowMissingColumns=True)
 
 
 def fill_forward(
@@ -186,21 +201,17 @@ def fill_backward(
     return _fill_column(df, value, ts, keys, freq, regular, block_rows, back=True)
 
 
-def _slots(df: DataFrame, ts: str, keys: Sequence[str], freq: Frequency) -> DataFrame:
+def _first_rows(df: DataFrame, ts: str, keys: Sequence[str], freq: Frequency) -> DataFrame:
     """For each grid point, the first row from it to the next point: one row per point."""
-    keys = list(keys)
-    rows = _anchored(_timed(df, ts), keys)
     rest = [name for name in df.columns if name not in (*keys, ts)]
-    # Rows of one time are told apart by their values, so the choice can be repeated.
-    place = F.struct("_t", *rest)
-    slot = freq.ordinal(F.col("_t"), F.col("_min"))
-    first = rows.groupBy(*keys, freq.point(slot, F.col("_min")).alias("_slot")).agg(F.min(place).alias("_row"))
-    return first.select(*keys, F.col("_slot").alias("_t"), *[F.col("_row")[name].alias(name) for name in rest])
+    # All see the same rows in the same order, so they choose the same row, even among copies.
+    first = [F.min_by(name, "_t").alias(name) for name in rest]
+    return _grid_slots(_on_grid(_timed(df, ts), keys, freq), keys, *first).drop("_real")
 
 
 def _next_rows(df, ts, keys, freq, regular, block_rows, then_forward: bool) -> DataFrame:
     freq, kind, columns, keys = Frequency.of(freq), df.schema[ts].dataType, df.columns, list(keys)
-    slots = _timed(df, ts) if regular else _slots(df, ts, keys, freq).withColumn(ts, from_micros(F.col("_t"), kind))
+    slots = _timed(df, ts) if regular else _first_rows(df, ts, keys, freq).withColumn(ts, from_micros(F.col("_t"), kind))
     rest = [name for name in columns if name not in (*keys, ts)]
     edged, ahead_of, _ = _windowed(slots, keys, freq, rest if then_forward else [], block_rows, ahead=False)
     so_far = ahead_of.rowsBetween(Window.unboundedPreceding, 0)
@@ -254,15 +265,15 @@ def spine_left_join(
     """
     freq, kind, columns, keys = Frequency.of(freq), df.schema[ts].dataType, df.columns, list(keys)
     rows = _timed(df, ts)
-    if not regular:
-        anchor = F.col("_min")
-        rows = _anchored(rows, keys)
-        rows = rows.where(freq.point(freq.ordinal(F.col("_t"), anchor), anchor) == F.col("_t")).drop("_min", "_max")
-    times = rows.select(*keys, "_t")
-    if not regular:
-        times = times.distinct()
+    if regular:
+        times = rows.select(*keys, "_t", F.lit(True).alias("_real"))
+    else:
+        rows = _on_grid(rows, keys, freq)
+        times = _grid_slots(rows, keys)
+        rows = rows.where("_real")
     edged, ahead_of, _ = _windowed(times, keys, freq, [], block_rows, ahead=False)
     so_far = ahead_of.rowsBetween(Window.unboundedPreceding, 0)
     filled = edged.withColumn("_prev", F.lag("_t").over(ahead_of)).withColumn("_anchor", F.max("_anchor").over(so_far))
-    gaps = _with_gaps(drop_edges(filled), keys, ts, kind, freq, {}, [*keys, ts]).where(~F.col("_here")).drop("_here")
+    points = _with_gaps(drop_edges(filled), keys, ts, kind, freq, {}, [*keys, ts, "_real"])
+    gaps = points.where(~(F.col("_here") & F.coalesce("_real", F.lit(False)))).select(*keys, ts)
     return rows.select(*columns).unionByName(gaps, allowMissingColumns=True)

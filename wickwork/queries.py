@@ -221,7 +221,7 @@ def stream_feed(spark, sf_dir):
 def append_batch(spark, sf_dir):
     table = new_table(spark, "append")
     tables.append(wire(hourly(spark, sf_dir)), table, max_rows_per_file=FLUSH_ROWS)
-    return plain(spark.table(table).select(*WIRE))
+    return plain(tables.read_table(spark, table).select(*WIRE))
 
 
 @query(f"SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS key, symbol, ts AS timestamp, {SINGLE} FROM ({CH})")
@@ -254,7 +254,7 @@ def _orders_table(spark, sf_dir, name, appends: int = 1) -> str:
 
 @query(YEARS_SQL)
 def year_partitioned_table(spark, sf_dir):
-    return plain(spark.table(_orders_table(spark, sf_dir, "years")))
+    return plain(tables.read_table(spark, _orders_table(spark, sf_dir, "years")))
 
 
 @query(f"SELECT * FROM ({YEARS_SQL}) WHERE timestamp >= '1996-03-01' AND timestamp < '1997-09-01'")
@@ -267,7 +267,7 @@ def table_range_scan(spark, sf_dir):
 def compact_partition(spark, sf_dir):
     table = _orders_table(spark, sf_dir, "compact", appends=2)
     tables.compact(spark, table, [1996, 1997], files=2)
-    return plain(spark.table(table))
+    return plain(tables.read_table(spark, table))
 
 
 @query(
@@ -283,7 +283,7 @@ def upsert_by_timestamp(spark, sf_dir):
     table = new_table(spark, "upsert", days.schema)
     tables.append(days.where(F.col("Timestamp") < "1999-01-01"), table)
     tables.upsert(days.where(F.col("Timestamp") >= "1998-07-01").withColumn("High", F.col("High") + 1), table)
-    return plain(spark.table(table).drop("year"))
+    return plain(tables.read_table(spark, table).drop("year"))
 
 
 # Projections and filters ------------------------------------------------------------------------
@@ -666,7 +666,7 @@ def stream_dedup(spark, sf_dir):
     parsed = streams.parse_stream(_events_topic(spark, sf_dir, "dedup"), KEYS, ranges.RANGE_SCHEMA)
     table = new_table(spark, "deduped")
     streams.append_stream(parsed, table, table, trigger=None).awaitTermination()
-    return plain(spark.table(table).select(*WIRE))
+    return plain(tables.read_table(spark, table).select(*WIRE))
 
 
 @query(f"SELECT symbol, ts AS timestamp, {SINGLE} FROM ({CH}) UNION ALL SELECT symbol, ts AS timestamp, {SINGLE} FROM ({CH})")
@@ -674,7 +674,7 @@ def stream_append_table(spark, sf_dir):
     good, _ = records.split_rejects(_events_topic(spark, sf_dir, "appended"), ranges.RANGE_SCHEMA)
     table = new_table(spark, "streamed")
     streams.append_stream(good, table, table, trigger=None).awaitTermination()
-    return plain(spark.table(table).select(*WIRE))
+    return plain(tables.read_table(spark, table).select(*WIRE))
 
 
 @query(
@@ -690,4 +690,4 @@ def stream_upsert(spark, sf_dir):
     tables.append(old.unionByName(old.withColumn("Symbol", F.concat("Symbol", F.lit("-OLD")))), table)
     parsed = streams.parse_stream(_events_topic(spark, sf_dir, "merged"), KEYS, ranges.RANGE_SCHEMA)
     streams.upsert_stream(parsed, table, table, KEYS, trigger=None).awaitTermination()
-    return plain(spark.table(table).select(*WIRE))
+    return plain(tables.read_table(spark, table).select(*WIRE))

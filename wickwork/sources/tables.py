@@ -11,6 +11,7 @@ rewrite for a correction.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -90,6 +91,9 @@ def supports_merge(spark: SparkSession, table: str) -> bool:
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame:
+    """The table as it is now. Streams write in sessions of their own, whose changes this session's
+    cached list of files does not show."""
+    spark.catalog.refreshTable(table)
     return spark.table(table)
 
 
@@ -97,7 +101,7 @@ def read_range(spark: SparkSession, table: str, start: str, end: str, ts: str =
     """Rows of ``[start, end)``. The range is also put as one of the stored partition column, as
     Spark cannot prune that by a condition on the timestamp alone."""
     low, high = F.to_timestamp(F.lit(start)), F.to_timestamp(F.lit(end))
-    df = spark.table(table).where((F.col(ts) >= low) & (F.col(ts) < high))
+    df = read_table(spark, table).where((F.col(ts) >= low) & (F.col(ts) < high))
     grain = partition_column(spark, table)
     if grain:
         part = GRAINS[grain]
@@ -137,25 +141,31 @@ def append(
     if supports_merge(spark, table):
         rows.writeTo(table).append()
         return
-    writer = rows.write.mode("append")
-    if max_rows_per_file:
-        writer = writer.option("maxRecordsPerFile", max_rows_per_file)
-    writer.insertInto(table)
+    with _settings(spark, **{"spark.sql.files.maxRecordsPerFile": str(max_rows_per_file or 0)}):
+        rows.write.mode("append").insertInto(table)
+
+
+@contextmanager
+def _settings(spark: SparkSession, **values: str):
+    """Session settings for one write; ``insertInto`` takes no options of its own."""
+    before = {key: spark.conf.get(key) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def _replace_partitions(rows: DataFrame, table: str) -> None:
     """Write rows in place of the partitions they fall into; others stay as they are.
 
     The new files are staged and moved in when all of them are written, hence the rows may come
-    from the same partitions. ``insertInto`` takes the mode from the session only.
+    from the same partitions.
     """
-    conf, key = rows.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
-    before = conf.get(key)
-    conf.set(key, "dynamic")
-    try:
+    with _settings(rows.sparkSession, **{"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
         rows.write.mode("overwrite").insertInto(table)
-    finally:
-        conf.set(key, before)
 
 
 def upsert(
@@ -190,7 +200,7 @@ def upsert(
         ranges = source.groupBy(grain).agg(F.min(ts).alias("low"), F.max(ts).alias("high")).collect()
         if not ranges:
             return
-        target = spark.table(table).where(F.col(grain).isin([row[grain] for row in ranges]))
+        target = read_table(spark, table).where(F.col(grain).isin([row[grain] for row in ranges]))
         low, high = min(row["low"] for row in ranges), max(row["high"] for row in ranges)
         present = target.where(F.col(ts).between(F.lit(low), F.lit(high))).join(source, keys, "left_semi")
         changed = [row[0] for row in present.select(grain).distinct().collect()]
@@ -220,7 +230,7 @@ def compact(
     a task never has more than one file's rows. Other partitions are not touched.
     """
     values = list(dict.fromkeys(values))
-    rows = spark.table(table).where(F.col(partition).isin(values))
+    rows = read_table(spark, table).where(F.col(partition).isin(values))
     columns = rows.columns
     time = to_micros(F.col(ts))
     place = F.array_position(F.array(*[F.lit(value) for value in values]), F.col(partition)) - 1
@@ -244,7 +254,7 @@ def latest_mark(spark: SparkSession, table: str, ts: str = "Timestamp", default:
     """The latest time in a table as text; the default if it is empty or not there."""
     if not spark.catalog.tableExists(table):
         return default
-    return latest_timestamp(spark.table(table), ts, default).first()["latest"]
+    return latest_timestamp(read_table(spark, table), ts, default).first()["latest"]
 
 
 def entity_defaults(spark: SparkSession, marks: dict[str, str], symbol: str = "symbol") -> DataFrame:
