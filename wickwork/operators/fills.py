@@ -74,8 +74,15 @@ def _anchored(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.join(first, list(keys)) if keys else rows.withColumn("_min", first.scalar())
 
 
-def _on_grid(rows: DataFrame, keys: Sequence[str], freq: Frequency) -> DataFrame:
+def _aligned(kind: T.DataType, freq: Frequency) -> bool:
+    """Whether no time of that type can be off the grid."""
+    return isinstance(kind, T.DateType) and freq == Frequency.of("D")
+
+
+def _on_grid(rows: DataFrame, keys: Sequence[str], freq: Frequency, kind: T.DataType) -> DataFrame:
     """Add the grid point at or before each row, and whether the row is on it."""
+    if _aligned(kind, freq):
+        return rows.withColumn("_point", F.col("_t")).withColumn("_real", F.lit(True))
     rows = _anchored(rows, keys)
     point = freq.point(freq.ordinal(F.col("_t"), F.col("_min")), F.col("_min"))
     return rows.withColumn("_point", point).withColumn("_real", F.col("_point") == F.col("_t")).drop("_min")
@@ -122,45 +129,60 @@ def _with_gaps(
     return points.select(*out, here.alias("_here"))
 
 
-def _windowed(rows, keys, freq, carried, block_rows, ahead):
-    width = freq.nominal_micros * block_rows
-    edged = with_edges(rows, keys, "_t", width, carried, anchor="_anchor", ahead=ahead)
-    return edged, forward(keys, "_t"), backward(keys, "_t")
+def _with_previous(
+    rows: DataFrame,
+    keys: Sequence[str],
+    freq: Frequency,
+    carried: Sequence[str],
+    block_rows: int,
+    ahead: bool = False,
+    **before: str,
+) -> DataFrame:
+    """Rows with their edges, the time of the row before (``_prev``), the start of the series
+    (``_anchor``), and for ``new=column`` the column's last non-null value before the row."""
+    edged = with_edges(rows, keys, "_t", freq.nominal_micros * block_rows, carried, anchor="_anchor", ahead=ahead)
+    # One frame for all of them, hence one pass.
+    earlier = forward(keys, "_t").rowsBetween(Window.unboundedPreceding, -1)
+    found = {name: F.last(column, ignorenulls=True).over(earlier) for name, column in before.items()}
+    return edged.withColumns(
+        {"_prev": F.last("_t").over(earlier), "_anchor": F.first("_anchor").over(earlier)} | found
+    )
 
 
 def _fill_column(df, value, ts, keys, freq, regular, block_rows, back: bool) -> DataFrame:
     freq, kind, columns, keys = Frequency.of(freq), df.schema[ts].dataType, df.columns, list(keys)
     rows = _timed(df, ts)
     slots, names = rows, columns
+    aligned = _aligned(kind, freq)
     if not regular:
-        rows = _on_grid(rows, keys, freq)
         # Among copies of a time with different values the largest one counts.
-        slots = _grid_slots(rows, keys, F.max(F.when(F.col("_real"), F.col(value))).alias(value))
+        of_slot = F.max(F.when(F.col("_real"), F.col(value))).alias(value)
+        slots = _grid_slots(_on_grid(rows, keys, freq, kind), keys, of_slot)
         slots = slots.withColumn(ts, from_micros(F.col("_t"), kind))
         names = [*keys, ts, value, "_real"]
 
-    edged, ahead_of, back_of = _windowed(slots, keys, freq, [value], block_rows, back)
-    so_far = ahead_of.rowsBetween(Window.unboundedPreceding, 0)
-    filled = edged.withColumn("_prev", F.lag("_t").over(ahead_of)).withColumn("_anchor", F.max("_anchor").over(so_far))
-    filled = filled.withColumn("_last", F.last(value, ignorenulls=True).over(so_far))
-    filled = filled.withColumn("_before", F.lag("_last").over(ahead_of))
+    filled = _with_previous(slots, keys, freq, [value], block_rows, ahead=back, _before=value)
+    gap_value = F.col("_before")
     if back:
-        onward = back_of.rowsBetween(Window.unboundedPreceding, 0)
-        filled = filled.withColumn("_next", F.last(value, ignorenulls=True).over(onward))
-        gap_value, row_value = F.coalesce("_next", "_before"), F.coalesce("_next", "_last")
-    else:
-        gap_value, row_value = F.col("_before"), F.col("_last")
-    filled = drop_edges(filled.withColumn("_gap", gap_value).withColumn(value, row_value))
+        later = backward(keys, "_t").rowsBetween(Window.unboundedPreceding, -1)
+        filled = filled.withColumn("_next", F.coalesce(value, F.last(value, ignorenulls=True).over(later)))
+        gap_value = F.coalesce("_next", "_before")
+    filled = filled.withColumn("_gap", gap_value).withColumn(value, F.coalesce(value, "_gap"))
+    filled = drop_edges(filled)
     points = _with_gaps(filled, keys, ts, kind, freq, {value: F.col("_gap")}, names)
     if regular:
         return points.drop("_here")
 
-    # The full rows are on the splittable side of an inner join; gaps carry nothing else.
+    # Rows look their value up in an inner join, of which AQE can split either side, and which
+    # leaves out what is off the grid. If nothing is, rows with a value pass without it.
     real = F.col("_here") & F.coalesce("_real", F.lit(False))
     known = points.where(real).select(*keys, to_micros(F.col(ts)).alias("_t"), F.col(value).alias("_filled"))
-    full = rows.where("_real").join(known, [*keys, "_t"]).withColumn(value, F.coalesce(value, "_filled"))
-    gaps = points.where(~real).drop("_here", "_real")
-    return full.select(*columns).unionByName(gaps, allowMissingColumns=True)
+    empty = F.col(value).isNull()
+    looked_up = (rows.where(empty) if aligned else rows).join(known, [*keys, "_t"])
+    full = looked_up.withColumn(value, F.coalesce(value, "_filled")).select(*columns)
+    if aligned:
+        full = full.unionByName(rows.where(~empty).select(*columns))
+    return full.unionByName(points.where(~real).drop("_here", "_real"), allowMissingColumns=True)
 
 
 def fill_forward(
@@ -206,18 +228,19 @@ def _first_rows(df: DataFrame, ts: str, keys: Sequence[str], freq: Frequency) ->
     rest = [name for name in df.columns if name not in (*keys, ts)]
     # All see the same rows in the same order, so they choose the same row, even among copies.
     first = [F.min_by(name, "_t").alias(name) for name in rest]
-    return _grid_slots(_on_grid(_timed(df, ts), keys, freq), keys, *first).drop("_real")
+    return _grid_slots(_on_grid(_timed(df, ts), keys, freq, df.schema[ts].dataType), keys, *first).drop("_real")
 
 
 def _next_rows(df, ts, keys, freq, regular, block_rows, then_forward: bool) -> DataFrame:
     freq, kind, columns, keys = Frequency.of(freq), df.schema[ts].dataType, df.columns, list(keys)
     slots = _timed(df, ts) if regular else _first_rows(df, ts, keys, freq).withColumn(ts, from_micros(F.col("_t"), kind))
     rest = [name for name in columns if name not in (*keys, ts)]
-    edged, ahead_of, _ = _windowed(slots, keys, freq, rest if then_forward else [], block_rows, ahead=False)
-    so_far = ahead_of.rowsBetween(Window.unboundedPreceding, 0)
-    filled = edged.withColumn("_prev", F.lag("_t").over(ahead_of)).withColumn("_anchor", F.max("_anchor").over(so_far))
     if then_forward:
-        filled = filled.withColumns({name: F.last(name, ignorenulls=True).over(so_far) for name in rest})
+        before = {f"_before_{name}": name for name in rest}
+        filled = _with_previous(slots, keys, freq, rest, block_rows, **before)
+        filled = filled.withColumns({name: F.coalesce(name, f"_before_{name}") for name in rest})
+    else:
+        filled = _with_previous(slots, keys, freq, [], block_rows)
     return _with_gaps(
         drop_edges(filled), keys, ts, kind, freq, {name: F.col(name) for name in rest}, columns
     ).drop("_here")
@@ -268,12 +291,10 @@ def spine_left_join(
     if regular:
         times = rows.select(*keys, "_t", F.lit(True).alias("_real"))
     else:
-        rows = _on_grid(rows, keys, freq)
+        rows = _on_grid(rows, keys, freq, kind)
         times = _grid_slots(rows, keys)
         rows = rows.where("_real")
-    edged, ahead_of, _ = _windowed(times, keys, freq, [], block_rows, ahead=False)
-    so_far = ahead_of.rowsBetween(Window.unboundedPreceding, 0)
-    filled = edged.withColumn("_prev", F.lag("_t").over(ahead_of)).withColumn("_anchor", F.max("_anchor").over(so_far))
+    filled = _with_previous(times, keys, freq, [], block_rows)
     points = _with_gaps(drop_edges(filled), keys, ts, kind, freq, {}, [*keys, ts, "_real"])
     gaps = points.where(~(F.col("_here") & F.coalesce("_real", F.lit(False)))).select(*keys, ts)
     return rows.select(*columns).unionByName(gaps, allowMissingColumns=True)

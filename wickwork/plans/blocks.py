@@ -105,12 +105,12 @@ def with_edges(
 
 def forward(keys: Sequence[str], order: str) -> Window:
     """Rows of a block in order, its leading edge first."""
-    return Window.partitionBy(*keys, BLOCK).orderBy(F.asc_nulls_first(order), EDGE)
+    return Window.partitionBy(*keys, BLOCK).orderBy(EDGE, order)
 
 
 def backward(keys: Sequence[str], order: str) -> Window:
     """Rows of a block in reverse, its trailing edge first."""
-    return Window.partitionBy(*keys, BLOCK).orderBy(F.desc_nulls_first(order), F.desc(EDGE))
+    return Window.partitionBy(*keys, BLOCK).orderBy(F.desc(EDGE), F.desc(order))
 
 
 def drop_edges(rows: DataFrame) -> DataFrame:
