@@ -28,6 +28,17 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(scope="module")
+def interpreted(spark):
+    """No code generation: for a handful of rows, compiling takes most of the time. The queries
+    are tested with it."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    spark.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    yield
+    spark.conf.unset("spark.sql.codegen.wholeStage")
+    spark.conf.unset("spark.sql.codegen.factoryMode")
+
+
 @pytest.fixture()
 def location(tmp_path):
     return str(tmp_path / "table")

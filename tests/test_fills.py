@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from wickwork.operators import fills
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
 HAND = [("2024-01-01", 1.0), ("2024-01-02", None), ("2024-01-05", 5.0), ("2024-01-06", None), ("2024-01-08", None)]
 
 

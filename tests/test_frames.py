@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from wickwork.operators import frames
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
 N, L, H = 17, 4, 3
 COLUMNS = ["a", "b", "c"]
 

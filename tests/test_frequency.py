@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from wickwork.functions.frequency import Frequency
 from wickwork.operators.fills import date_spine
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
 ALIASES = [
     "D", "3D", "h", "4h", "min", "15min", "90s", "W", "2W", "W-WED", "MS", "2MS", "ME", "3ME", "QS", "QE", "YS", "2YS", "YE", "B", "3B",
 ]

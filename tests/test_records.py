@@ -10,6 +10,8 @@ from wickwork.sources.chunks import range_chunks
 from wickwork.sources.events import peek
 from wickwork.sources.tables import entity_defaults
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
 GOOD = '{"Timestamp": "2024-12-03 20:03:00", "Low": 1.5, "High": 2.0, "Open": 1.6, "Close": 1.75, "Volume": 3.25}'
 
 

@@ -161,7 +161,9 @@ def _fill_column(df, value, ts, keys, freq, regular, block_rows, back: bool) ->
         slots = slots.withColumn(ts, from_micros(F.col("_t"), kind))
         names = [*keys, ts, value, "_real"]
 
-    filled = _with_previous(slots, keys, freq, [value], block_rows, ahead=back, _before=value)
+    # Carrying all columns of the slots lets both uses of them share one computation.
+    carried = [value] if regular else [value, "_real"]
+    filled = _with_previous(slots, keys, freq, carried, block_rows, ahead=back, _before=value)
     gap_value = F.col("_before")
     if back:
         later = backward(keys, "_t").rowsBetween(Window.unboundedPreceding, -1)
@@ -240,7 +242,7 @@ def _next_rows(df, ts, keys, freq, regular, block_rows, then_forward: bool) -> D
         filled = _with_previous(slots, keys, freq, rest, block_rows, **before)
         filled = filled.withColumns({name: F.coalesce(name, f"_before_{name}") for name in rest})
     else:
-        filled = _with_previous(slots, keys, freq, [], block_rows)
+        filled = _with_previous(slots, keys, freq, [] if regular else rest, block_rows)
     return _with_gaps(
         drop_edges(filled), keys, ts, kind, freq, {name: F.col(name) for name in rest}, columns
     ).drop("_here")
@@ -294,7 +296,7 @@ def spine_left_join(
         rows = _on_grid(rows, keys, freq, kind)
         times = _grid_slots(rows, keys)
         rows = rows.where("_real")
-    filled = _with_previous(times, keys, freq, [], block_rows)
+    filled = _with_previous(times, keys, freq, [] if regular else ["_real"], block_rows)
     points = _with_gaps(drop_edges(filled), keys, ts, kind, freq, {}, [*keys, ts, "_real"])
     gaps = points.where(~(F.col("_here") & F.coalesce("_real", F.lit(False)))).select(*keys, ts)
     return rows.select(*columns).unionByName(gaps, allowMissingColumns=True)
