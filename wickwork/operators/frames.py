@@ -87,19 +87,19 @@ def _own(rows: DataFrame) -> DataFrame:
     return rows.where(F.col(EDGE) == 0)
 
 
-def _values(name: str, frame: WindowSpec) -> Column:
-    """A column's values in the frame, nulls included (on their own they would be left out)."""
-    return F.flatten(F.collect_list(F.array(name)).over(frame))
-
-
 def _rows(names: Sequence[str], frame: WindowSpec) -> Column:
+    """The rows of the frame, each an array of columns, nulls included (which ``collect_list``
+    would leave out of bare values)."""
     return F.collect_list(F.array(*names)).over(frame)
 
 
-def _framed(rows: DataFrame, keys: Keys, ts: str, x: Column, lookback: int, y: Column, horizon: int) -> DataFrame:
-    """Samples with all their rows."""
+def _framed(
+    rows: DataFrame, keys: Keys, ts: str, x: Column, lookback: int, y: Column, horizon: int, flat_x: bool = False
+) -> DataFrame:
+    """Samples with all their rows; ``y``, and ``x`` if asked for, as plain values."""
     framed = _own(rows.select(*keys, ts, EDGE, x.alias("x"), y.alias("y")))
-    return framed.where((F.size("x") == lookback) & (F.size("y") == horizon)).drop(EDGE)
+    framed = framed.where((F.size("x") == lookback) & (F.size("y") == horizon))
+    return framed.select(*keys, ts, (F.flatten("x") if flat_x else F.col("x")).alias("x"), F.flatten("y").alias("y"))
 
 
 def univariate(
@@ -116,8 +116,8 @@ def univariate(
 ) -> DataFrame:
     """``x``: the previous values, ``y``: the values from the row named by ``ts`` onwards."""
     rows, w = _haloed(df, [value], keys, ts, lookback, horizon - 1, gap_free, block, block_rows)
-    x, y = _values(value, w.rowsBetween(-lookback, -1)), _values(value, w.rowsBetween(0, horizon - 1))
-    return _framed(rows, keys, ts, x, lookback, y, horizon)
+    x, y = _rows([value], w.rowsBetween(-lookback, -1)), _rows([value], w.rowsBetween(0, horizon - 1))
+    return _framed(rows, keys, ts, x, lookback, y, horizon, flat_x=True)
 
 
 def classification(
@@ -157,7 +157,7 @@ def forecast(
     features) from the row named by ``ts`` onwards."""
     target = features[target] if isinstance(target, int) else target
     rows, w = _haloed(df, [*features, target], keys, ts, lookback, horizon - 1, gap_free, block, block_rows)
-    x, y = _rows(features, w.rowsBetween(-lookback, -1)), _values(target, w.rowsBetween(0, horizon - 1))
+    x, y = _rows(features, w.rowsBetween(-lookback, -1)), _rows([target], w.rowsBetween(0, horizon - 1))
     return _framed(rows, keys, ts, x, lookback, y, horizon)
 
 
@@ -177,7 +177,7 @@ def multivariate(
     last input row, which ``ts`` names."""
     rows, w = _haloed(df, columns, keys, ts, steps_in - 1, steps_out - 1, gap_free, block, block_rows)
     x = _rows(columns[:-1], w.rowsBetween(-(steps_in - 1), 0))
-    y = _values(columns[-1], w.rowsBetween(0, steps_out - 1))
+    y = _rows([columns[-1]], w.rowsBetween(0, steps_out - 1))
     return _framed(rows, keys, ts, x, steps_in, y, steps_out)
 
 

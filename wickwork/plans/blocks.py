@@ -136,11 +136,11 @@ def with_halo(rows: DataFrame, number: str, behind: int, ahead: int, block_rows:
         raise ValueError("a block must be at least as long as the reach of the window")
     own = floor_div(F.col(number), block_rows)
     offset = F.pmod(F.col(number), F.lit(block_rows))
-    sides = F.array_compact(
-        F.array(
-            F.lit(0),
-            F.when(offset >= block_rows - behind, F.lit(1)),
-            F.when(offset < ahead, F.lit(-1)),
-        )
+    after, before = offset >= block_rows - behind, offset < ahead
+    sides = (
+        F.when(after & before, F.array(F.lit(0), F.lit(1), F.lit(-1)))
+        .when(after, F.array(F.lit(0), F.lit(1)))
+        .when(before, F.array(F.lit(0), F.lit(-1)))
+        .otherwise(F.array(F.lit(0)))
     )
     return rows.withColumn(EDGE, F.explode(sides)).withColumn(BLOCK, own + F.col(EDGE))
