@@ -18,7 +18,7 @@ from wickwork.functions import records
 from wickwork.operators import candles as cd
 from wickwork.operators import fills, frames
 from wickwork.schema import CANDLE_COLUMNS, ENTITY_MARKS, FLUSH_ROWS
-from wickwork.session import scratch_path, ship_package, use_utc
+from wickwork.session import scratch_path, use_utc
 from wickwork.sources import events as ev
 from wickwork.sources import ranges, tables
 from wickwork.sources.chunks import range_chunks
@@ -186,7 +186,6 @@ def batch_from_kafka_json(spark, sf_dir):
 def _replay(spark, sf_dir) -> dict[str, str]:
     """Hourly candles as files for the replay fetch, sorted so that a chunk touches few of them."""
     ranges.register(spark)
-    ship_package(spark)
     path = scratch_path(spark, "replay")
     rows = hourly(spark, sf_dir)
     rows.repartitionByRange("symbol", "ts").sortWithinPartitions("symbol", "ts").write.parquet(path)

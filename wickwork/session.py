@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import pathlib
 import shutil
 import tempfile
@@ -54,11 +55,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, for tasks that run its Python code (the data sources).
-    Not needed where it is installed or given with ``--py-files``."""
-    key = "wickwork.shipped"
-    if spark.conf.get(key, None) == spark.sparkContext.applicationId:
-        return
+    Call it before a source is registered. Not needed where the package is installed."""
     package = pathlib.Path(__file__).parent
+    context = spark.sparkContext
+    paths = [path for path in context.environment.get("PYTHONPATH", "").split(os.pathsep) if path]
+    if str(package.parent) in paths:
+        return
+    # A stream plans its batches in a Python process of the driver, which only looks at the path.
+    context.environment["PYTHONPATH"] = os.pathsep.join([str(package.parent), *paths])
     base = pathlib.Path(tempfile.mkdtemp(prefix="wickwork-zip-")) / "wickwork"
-    spark.sparkContext.addPyFile(shutil.make_archive(str(base), "zip", package.parent, package.name))
-    spark.conf.set(key, spark.sparkContext.applicationId)
+    context.addPyFile(shutil.make_archive(str(base), "zip", package.parent, package.name))

@@ -26,6 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StringType, StructField, StructType
 
 from wickwork.schema import BUFFER_SECONDS, CANDLE_SCHEMA, GRANULARITY_SECONDS, MAX_CHUNK_HOURS
+from wickwork.session import ship_package
 from wickwork.sources.chunks import check_hours
 
 RANGE_SCHEMA = StructType([StructField("Symbol", StringType(), True), *CANDLE_SCHEMA.fields])
@@ -184,6 +185,8 @@ class CandleFeed(DataSource):
 
 
 def register(spark) -> None:
+    """Make both sources known to the session, and their code to its executors."""
+    ship_package(spark)
     spark.dataSource.register(CandleRange)
     spark.dataSource.register(CandleFeed)
 
