@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickwork.llm import byte_bpe
+from wickwork.llm import byte_bpe, personal_data
 from wickwork.llm.tables import table
 from wickwork.session import use_utc
 
@@ -38,3 +38,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(byte_bpe.joined_ids(F.col("token_ids")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query()
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal_data.find_personal_data(docs).select("doc_id", "spans")
+    spans = F.col("spans")
+    counts = [F.size(personal_data.of_kinds(spans, k)).cast("long").alias(f"n_{k}") for k in personal_data.BASE]
+    base = personal_data.listed(personal_data.of_kinds(spans, *personal_data.BASE))
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(base, 256).alias("base_sha256"),
+        personal_data.listed(spans).alias("spans"),
+    )
