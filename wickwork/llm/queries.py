@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickwork.llm import byte_bpe, personal_data
+from wickwork.llm import byte_bpe, near_dedup, personal_data
 from wickwork.llm.tables import table
 from wickwork.session import use_utc
 
@@ -53,3 +53,12 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(base, 256).alias("base_sha256"),
         personal_data.listed(spans).alias("spans"),
     )
+
+
+@query()
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = near_dedup.near_duplicates(docs, width=2, threshold=80)
+    return found.select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
