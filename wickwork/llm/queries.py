@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickwork.llm import byte_bpe, near_dedup, personal_data, topk
+from wickwork.llm import byte_bpe, kd_shards, near_dedup, personal_data, topk
 from wickwork.llm.tables import table
 from wickwork.session import use_utc
 
@@ -84,3 +84,17 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query()
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = kd_shards.kd_shards(table(spark, sf_dir, "documents"), shards=8)
+    return sharded.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
