@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickwork.llm import byte_bpe, kd_shards, near_dedup, personal_data, topk
+from wickwork.llm import byte_bpe, chat_windows, kd_shards, near_dedup, personal_data, topk
 from wickwork.llm.tables import table
 from wickwork.session import use_utc
 
@@ -98,3 +98,41 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+@query()
+def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(1).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role")) for i, r in enumerate(("user", "assistant"))])).alias("t"),
+    )
+    extra = extra.select("conv_id", "t.turn", "t.role", F.lit(CONTROL).alias("text"))
+    windows = chat_windows.chat_windows(turns.unionByName(extra))
+    # Read back: what is not repeated in each window, the windows in order.
+    fresh = F.slice(chat_windows.parsed(F.col("formatted")), F.col("n_repeated") + 1, F.greatest(F.col("n_turns") - F.col("n_repeated"), F.lit(1)))
+    read = windows.select(
+        "conv_id",
+        "window",
+        F.array_join(F.transform(fresh, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("turns"),
+        chat_windows.masked(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+        (F.col("n_turns") - F.col("n_repeated")).alias("n"),
+        F.length("formatted").alias("chars"),
+    )
+    whole = read.groupBy("conv_id").agg(
+        F.sum("n").alias("n_turns"),
+        F.sort_array(F.collect_list(F.struct("window", "turns", "loss"))).alias("w"),
+        F.sum("chars").cast("long").alias("formatted_chars"),
+    )
+    loss = F.array_join("w.loss", "")
+    return whole.select(
+        "conv_id",
+        "n_turns",
+        F.sha2(F.array_join("w.turns", ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
