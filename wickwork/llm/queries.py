@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickwork.llm import byte_bpe, chat_windows, decontaminate, kd_shards, near_dedup, personal_data, topk
+from wickwork.llm import byte_bpe, chat_windows, decontaminate, kd_shards, kneser_ney, near_dedup, personal_data, topk
 from wickwork.llm.tables import table
 from wickwork.session import use_utc
 
@@ -142,3 +142,15 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents with benchmark questions in them, and which."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a good label and no bad one."""
+    labels = table(spark, sf_dir, "labels").where("doc_id is not null and quality is not null")
+    return labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+
+
+@query()
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return kneser_ney.quality(docs, trusted(spark, sf_dir)).select("doc_id", "lang", "perplexity", "threshold", "kept")
