@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickwork.llm import byte_bpe, chat_windows, decontaminate, kd_shards, kneser_ney, near_dedup, personal_data, topk
+from wickwork.llm import byte_bpe, chat_windows, decontaminate, ftrl, kd_shards, kneser_ney, near_dedup, personal_data, topk
 from wickwork.llm.tables import table
 from wickwork.session import use_utc
 
@@ -154,3 +154,11 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return kneser_ney.quality(docs, trusted(spark, sf_dir)).select("doc_id", "lang", "perplexity", "threshold", "kept")
+
+
+@query()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~ftrl.held_out(F.col("doc_id")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = ftrl.toxicity(docs, labels)
+    return scored.select("doc_id", ftrl.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
