@@ -54,8 +54,10 @@ def corpus(seed, n=150):
     return rows
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_components_against_all_pairs(spark, docs, width):
+@pytest.mark.parametrize("width, large", [(2, 64), (5, 64), (2, 1)])
+def test_components_against_all_pairs(spark, docs, monkeypatch, width, large):
+    monkeypatch.setattr(nd, "LARGE", large)
+    monkeypatch.setattr(nd, "BLOCK", 16 * large)
     rows = corpus(width)
     got = nd.near_duplicates(docs(*rows), width).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got)) == sorted(brute(rows, width, 80))
@@ -91,6 +93,14 @@ def test_chain_and_large_group(spark, docs):
     assert {r.component_id for r in got if r.doc_id >= 100} == {100}
 
 
+def test_common_members(monkeypatch):
+    monkeypatch.setattr(nd, "COLUMNS", 7)
+    rng = np.random.default_rng(2)
+    left, right = ([np.unique(rng.integers(0, 60, size, dtype=np.uint64)) for size in sizes] for sizes in ([5, 30, 1], [9, 40, 3, 20]))
+    want = [[len(set(a) & set(b)) for b in right] for a in left]
+    assert nd.common_members(left, right).tolist() == want
+
+
 def test_estimate():
     rng = np.random.default_rng(1)
     for n, share in [(2000, 0.9), (2000, 0.5), (400, 0.8), (2000, 0.0)]:
