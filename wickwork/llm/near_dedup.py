@@ -11,11 +11,14 @@ Work grows with the documents, not with the pairs inside a group of copies:
 
 * documents with equal sets form one *class*, by a map-side combined aggregation; everything
   below is between classes, so thousands of copies are one class;
-* in each band's bucket every class is first paired with one hub only (a star). Pairs pass the
+* in each band's bucket every class is first paired with two hubs only (stars). Pairs pass the
   size bound, then the estimate of the sketches (corrected for chance collisions of registers),
   then the comparison of the full sets. Stars join groups of near copies into components;
-* pairs of one bucket that are still in different components are then compared in full, so no
-  link that a bucket could show is missed, but the pairs within a component are never listed.
+* what shares a bucket but is still in different components is then compared as well, so no link
+  that a bucket could show is missed. In small buckets these are pairs as before. Of a large bucket
+  the members outside its main component meet all members in blocks: full sets (as 64-bit shingle
+  hashes) are compared inside a task, and only links leave it. Pairs within a component are never
+  looked at.
 
 Components come from min-label propagation with pointer jumps, each round a written table.
 """
@@ -37,6 +40,11 @@ BUCKETS = BANDS * ROWS
 MANTISSA = 10
 #: The estimate may be so many standard deviations below the threshold before a pair is dropped.
 SLACK = 6.0
+#: Buckets with more classes are compared in blocks of about ``BLOCK`` classes.
+LARGE = 64
+BLOCK = 256
+#: Distinct shingles of a block compared at a time.
+COLUMNS = 16_384
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -212,25 +220,33 @@ def near_duplicates(
 
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
     bucketed = classes.select("node", "n", F.explode(keys).alias("key"))
-    hubs = bucketed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub < _last").select("key", "hub")
+    hubs = bucketed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far_hub")).where("hub < far_hub")
     shared = written(bucketed.join(hubs, "key"), "dedup-buckets")
 
     sets = written(_texts(docs, classes, shared, doc_id, text), "dedup-texts")
     sized = classes.select("node", "n", "registers")
     link = _Linker(sets, sized, width, threshold)
 
-    star = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs_of = F.explode(F.array("hub", "far_hub"))
+    star = shared.select("node", "n", hubs_of.alias("to")).where("node <> to")
+    star = star.select(F.col("node").alias("a"), F.col("to").alias("b")).distinct()
     stars = written(link(star), "dedup-links")
     labels = components(stars)
 
-    placed = shared.join(labels, "node", "left").select("key", "node", "n", "hub", F.coalesce("label", "node").alias("label"))
-    mixed_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    apart = written(placed.join(mixed_keys, "key").where("node <> hub"), "dedup-apart")
-    x, y = apart.alias("x"), apart.alias("y")
+    placed = shared.join(labels, "node", "left").select("key", "node", "n", "hub", "far_hub", F.coalesce("label", "node").alias("label"))
+    sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("of_label"))
+    sizes = sizes.groupBy("key").agg(
+        F.max_by("label", F.struct("of_label", "label")).alias("main"), F.max("of_label").alias("_main"), F.sum("of_label").alias("members")
+    )
+    sizes = sizes.where("members > _main").select("key", "main", "members", (F.col("members") - F.col("_main")).alias("visitors"))
+    apart = written(placed.join(sizes, "key"), "dedup-apart")
+
+    x, y = (apart.where((F.col("members") <= LARGE) & ~F.col("node").isin(F.col("hub"), F.col("far_hub"))).alias(name) for name in "xy")
     close = (F.col("x.n") * threshold <= F.col("y.n") * 100) & (F.col("y.n") * threshold <= F.col("x.n") * 100)
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & close)
-    rest = link(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-    labels = components(stars.union(rest))
+    pairs = link(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    blocks = _block_links(apart.where(F.col("members") > LARGE), sets, width, threshold)
+    labels = components(stars.union(pairs).union(blocks))
 
     member = classes.join(labels, "node", "left").select("set_hash", "_first", F.coalesce("label", "node").alias("label"))
     winners = member.groupBy("label").agg(F.min("_first").alias("_winner"))
@@ -255,6 +271,65 @@ def _texts(docs: DataFrame, classes: DataFrame, shared: DataFrame, doc_id: str,
     return found.select("node", "text").dropDuplicates(["node"])
 
 
+def set_of(width: int):
+    """Column function: a text's sorted distinct shingle hashes, as bytes."""
+
+    @F.arrow_udf(T.BinaryType())
+    def hashes(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_hashes(text.as_py(), width).tobytes() for text in texts], pa.binary())
+
+    return hashes
+
+
+def common_members(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set on the left with each on the right; sets are sorted arrays."""
+    distinct = np.unique(np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, len(distinct), COLUMNS):
+        part = distinct[start : start + COLUMNS]
+        sides = []
+        for sets in (left, right):
+            has = np.zeros((len(sets), len(part)), np.float32)
+            for i, members in enumerate(sets):
+                inside = members[np.searchsorted(members, part[0]) : np.searchsorted(members, part[-1], "right")]
+                at = np.searchsorted(part, inside)
+                has[i, at[part[at] == inside]] = 1
+            sides.append(has)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Links (a, b) between the members of large buckets that lie in different components.
+
+    ``rows``: key, node, label, main, members, visitors. Visitors, in blocks, meet all members, in
+    blocks; of a visitor's links to one component in one block, one is enough.
+    """
+    wanted = sets.join(rows.select("node").distinct(), "node", "left_semi")
+    sets = written(wanted.select("node", set_of(width)("text").alias("set")), "dedup-sets")
+    rows = rows.join(sets, "node")
+
+    def packed(some: DataFrame, count: str, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("node"), F.ceil(F.col(count) / BLOCK))
+        some = some.groupBy("key", block.alias("block")).agg(F.collect_list(F.struct("node", "label", "set")).alias("rows"))
+        return some.select("key", *[F.col(f"rows.{c}").alias(f"{name}_{c}") for c in ("node", "label", "set")])
+
+    met = packed(rows.where("label <> main"), "visitors", "v").join(packed(rows, "members", "m"), "key")
+
+    def links(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                v, v_label, m, m_label = (batch.column(c)[i].values.to_numpy() for c in ("v_node", "v_label", "m_node", "m_label"))
+                left, right = ([np.frombuffer(x, np.uint64) for x in batch.column(c)[i].as_py()] for c in ("v_set", "m_set"))
+                common = common_members(left, right)
+                both = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right]) - common
+                at, to = np.nonzero((100 * common >= threshold * both) & (v_label[:, None] != m_label))
+                _, first = np.unique(np.stack([at, m_label[to]], axis=1), axis=0, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(v[at[first]]), pa.array(m[to[first]])], ["a", "b"])
+
+    return met.drop("key").mapInArrow(links, "a long, b long")
+
+
 class _Linker:
     """Candidate pairs (a, b) to links: size bound, estimate, full sets."""
 
