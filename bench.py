@@ -19,39 +19,7 @@ from wickwork import queries as q  # noqa: E402
 from wickwork.loader import CandleLoader  # noqa: E402
 from wickwork.session import build_session, scratch_path  # noqa: E402
 
-HEADLINE = [
-    "ohlcv_candles",
-    "ohlcv_minute_candles",
-    "latest_per_symbol",
-    "incremental_filter",
-    "monotonic_filter",
-    "dedup_by_timestamp",
-    "json_parse_candle",
-    "event_json_encode",
-    "range_chunks",
-    "date_spine",
-    "spine_left_join",
-    "spine_left_join_copies",
-    "gapfill_forward",
-    "gapfill_forward_daily",
-    "gapfill_backward",
-    "gapfill_row",
-    "asof_next",
-    "asof_next_ticks",
-    "lag_lead",
-    "seq_univariate",
-    "seq_forecast",
-    "seq_forecast_filled",
-    "supervised_full",
-    "supervised_single",
-    "append_batch",
-    "upsert_by_timestamp",
-    "compact_partition",
-    "chunked_range_read",
-    "stream_dedup",
-    "stream_upsert",
-    "topic_peek",
-]
+HEADLINE = list(q.QUERIES)
 
 
 def main() -> None:

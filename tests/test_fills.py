@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wickwork.operators import fills
+from wickwork.operators import candles, fills
 
 pytestmark = pytest.mark.usefixtures("interpreted")
 
@@ -146,3 +146,19 @@ def test_fill_equals_pandas(spark, fill, off_grid, block_rows):
         found = getattr(fills, fill)(df, freq="h", regular=regular, block_rows=block_rows).toPandas()
         found = found.sort_values(["symbol", "ds"])[["symbol", "ds", "y", "z"]].reset_index(drop=True)
         pd.testing.assert_frame_equal(found, expected, check_dtype=False)
+
+
+@pytest.mark.parametrize("regular", [True, False])
+def test_null_series_key_is_a_series(spark, regular):
+    rows = [(None, "2024-01-01", 1.0), (None, "2024-01-03", 3.0), ("a", "2024-01-01", 5.0)]
+    df = spark.createDataFrame(rows, "symbol string, ds string, y double").withColumn("ds", F.to_timestamp("ds"))
+    for fill in (fills.fill_forward, fills.fill_backward):
+        assert fill(df, regular=regular).where("symbol is null").count() == 3
+    assert fills.spine_left_join(df, regular=regular).where("symbol is null").count() == 3
+
+
+def test_open_and_close_of_equal_times(spark):
+    rows = [("a", 0, 1.0, 2), ("a", 0, 2.0, 1)]
+    df = spark.createDataFrame(rows, "symbol string, s long, value double, trade long").withColumn("ts", F.timestamp_seconds("s"))
+    one = candles.ohlcv_candles(df, order=["trade"]).first()
+    assert (one.open, one.close) == (2.0, 1.0)

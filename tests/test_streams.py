@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from wickwork.jobs import parse
 from wickwork.loader import CandleLoader
+from wickwork.functions.records import split_rejects
 from wickwork.sources import events as ev
 from wickwork.sources import ranges, tables
 from wickwork.streaming import queries as streams
@@ -47,12 +48,12 @@ def test_dedup_lasts_over_batches_and_restarts(spark, name, location, topic, tmp
     assert closes(spark, name) == [(1, 1.0), (2, 2.0), (3, 3.0)]
 
 
-def test_dedup_with_bounded_state_and_spread(spark, name, location, topic, tmp_path):
+def test_dedup_with_spread(spark, name, location, topic, tmp_path):
     tables.create_table(spark, name, location=location)
     send(spark, topic, *[(1, 1)] * 50, (2, 2), (2, 2))
     send(spark, topic, (1, 1), (5, 5))
     stream = ev.stream_events(spark, topic, "parquet", maxFilesPerTrigger="1")
-    parsed = streams.parse_stream(stream, within="10 minutes", spread=3)
+    parsed = streams.parse_stream(stream, spread=3)
     streams.append_stream(parsed, name, name, str(tmp_path / "cp"), None).awaitTermination()
     assert closes(spark, name) == [(1, 1.0), (2, 2.0), (5, 5.0)]
 
@@ -67,6 +68,37 @@ def test_upsert_stream_corrects_and_replays(spark, name, location, topic, tmp_pa
         assert closes(spark, name) == [(1, 1.0), (2, 2.0)]
 
 
+def test_late_keys_and_corrections(spark, name, location, topic, tmp_path):
+    """A late new key survives a later batch; ``update=False`` keeps the first row, else the last one counts."""
+    tables.create_table(spark, name, location=location)
+    checkpoint = str(tmp_path / "cp")
+
+    def run(update):
+        parsed = streams.parse_stream(ev.stream_events(spark, topic, "parquet"), distinct=False)
+        streams.upsert_stream(parsed, name, name, checkpoint=checkpoint, trigger=None, update=update).awaitTermination()
+
+    send(spark, topic, (50, 5), (51, 5))
+    run(False)
+    send(spark, topic, (1, 1), (2, 2), (50, 9), (52, 6))
+    run(False)
+    assert closes(spark, name) == [(1, 1.0), (2, 2.0), (50, 5.0), (51, 5.0), (52, 6.0)]
+    send(spark, topic, (50, 9))
+    run(True)
+    assert closes(spark, name) == [(1, 1.0), (2, 2.0), (50, 9.0), (51, 5.0), (52, 6.0)]
+
+
+def test_null_second_key_is_a_reject(spark):
+    events = spark.sql("""SELECT CAST('k' AS BINARY) AS key, CAST(v AS BINARY) AS value FROM VALUES
+        ('{"Timestamp": "2024-01-01 00:00:00", "Low": 1}'), ('{"Timestamp": "2024-01-01 00:00:00", "Low": null}'), ('x') t(v)""")
+    good, rejects = split_rejects(events, key=("Timestamp", "Low"))
+    assert (good.count(), rejects.count()) == (1, 2)
+
+
+def test_servers_are_not_guessed(spark):
+    with pytest.raises(ValueError, match="servers"):
+        ev.read_events(spark, "topic")
+
+
 def test_rejects(spark, topic, tmp_path):
     send(spark, topic, (1, 1), "not json", '{"Timestamp": "x"}')
     rejects = streams.reject_stream(ev.stream_events(spark, topic, "parquet"))

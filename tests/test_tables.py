@@ -111,3 +111,15 @@ def test_upsert_needs_a_partitioned_table(spark, name):
     spark.sql(f"CREATE TABLE {name} (Timestamp TIMESTAMP) USING parquet")
     with pytest.raises(ValueError):
         tables.upsert(spark.sql("SELECT timestamp'2024-01-01' AS Timestamp"), name)
+
+
+def test_upsert_needs_the_time_and_reduces_copies(spark, name, location):
+    tables.create_table(spark, name, location=location)
+    rows = candles(spark, "2024-01-01", 2)
+    tables.upsert(rows.unionByName(candles(spark, "2024-01-01", 2, 3.0)), name)
+    assert [r.Close for r in tables.read_table(spark, name).collect()] == [3.0, 3.0]
+    with pytest.raises(ValueError, match="Timestamp"):
+        tables.upsert(rows, name, keys=("Close",))
+    tables.upsert(candles(spark, "2024-01-02", 2, 9.0), name, update=False)
+    assert sorted(r.Close for r in tables.read_table(spark, name).collect()) == [3.0, 3.0, 9.0]
+    tables.compact(spark, name, [], 2)

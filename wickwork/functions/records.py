@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,11 +65,12 @@ def parse_events(events: DataFrame, schema: T.StructType = CANDLE_SCHEMA, keep:
 
 
 def split_rejects(
-    events: DataFrame, schema: T.StructType = CANDLE_SCHEMA, key: str = "Timestamp"
+    events: DataFrame, schema: T.StructType = CANDLE_SCHEMA, key: str | Sequence[str] = "Timestamp"
 ) -> tuple[DataFrame, DataFrame]:
-    """Parsed records with a key, and the raw events whose key is missing or does not parse."""
+    """Parsed records with all their key fields, and the raw events of which one is missing or does not parse."""
     parsed = events.withColumn("_data", F.from_json(bytes_to_text(F.col("value")), schema))
-    missing = F.col(f"_data.{key}").isNull()
+    keys = [key] if isinstance(key, str) else list(key)
+    missing = reduce(or_, [F.col(f"_data.{name}").isNull() for name in keys])
     rejects = parsed.where(missing).select(*events.columns)
     return parsed.where(~missing).select("_data.*"), rejects
 

@@ -10,9 +10,14 @@ from __future__ import annotations
 
 import argparse
 import json
+import pathlib
+import sys
 
-from wickwork.loader import CandleLoader
-from wickwork.session import build_session
+# The script's own folder is on the path; the package is in the one above.
+sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent.parent))
+
+from wickwork.loader import CandleLoader  # noqa: E402
+from wickwork.session import build_session  # noqa: E402
 
 
 def parse(argv: list[str] | None = None) -> argparse.Namespace:

@@ -56,11 +56,16 @@ class CandleLoader:
             tables.create_table(spark, self.table, fmt, grain=grain, location=location, use_sql=use_sql)
         self.resumed = start is None
         self.start = start or self.latest()
-        self.end = end or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+        self.end = end
 
     def latest(self) -> str:
         return tables.latest_mark(self.spark, self.table)
 
+    def until(self) -> str:
+        """The given end; else the start of the last candle that is complete by now."""
+        now = int(datetime.now(timezone.utc).timestamp()) - self.granularity
+        return self.end or datetime.fromtimestamp(now - now % self.granularity, timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+
     def _mark(self) -> Column:
         """Rows up to here are loaded already; null if the start was given."""
         return F.to_timestamp(F.lit(self.start if self.resumed else None))
@@ -79,7 +84,7 @@ class CandleLoader:
         options = {
             "symbols": self.symbol,
             "start": self.start,
-            "end": self.end,
+            "end": self.until(),
             "fetch": fetch,
             "granularity": str(self.granularity),
             "hours": str(self.hours),
@@ -102,15 +107,16 @@ class CandleLoader:
         checkpoint: str | None = None,
         trigger: str | None = TRIGGER,
         merge: bool = True,
-        within: str | None = None,
+        corrections: bool = False,
         **options: str,
     ) -> StreamingQuery:
         """Start the stream from the topic to the table: deduplicated and upserted, or with
-        ``merge=False`` appended as it comes."""
+        ``merge=False`` appended as it comes. With ``corrections`` no key is remembered, and a
+        later event of a key replaces its row."""
         name = name or self.topic
         events = stream_events(self.spark, self.topic, self.event_format, self.servers, **options)
         if merge:
-            return upsert_stream(parse_stream(events, within=within), self.table, name, checkpoint=checkpoint, trigger=trigger)
+            return upsert_stream(parse_stream(events, distinct=not corrections), self.table, name, checkpoint=checkpoint, trigger=trigger)
         return append_stream(split_rejects(events)[0], self.table, name, checkpoint, trigger)
 
     def compact(self, values: Sequence, files: int, partition: str = "year") -> None:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,9 +22,13 @@ def ohlcv_candles(
     keys: Sequence[str] = ("symbol",),
     granularity: int = GRANULARITY_SECONDS,
     volume: Column | None = None,
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """Low, high, open, close and volume (default: number of ticks) per series and time slot.
 
+    Ticks of one time are taken in the order of ``order`` (say, a trade number), and then of their
+    value, so that open and close are the same on every run.
+
     Every aggregate combines on the map side, so a hot symbol or a hot minute costs one row per
     task in the shuffle.
     """
@@ -33,8 +39,8 @@ def ohlcv_candles(
     return ticks.groupBy(*keys, slot.alias("_slot")).agg(
         F.min(value).alias("low"),
         F.max(value).alias("high"),
-        F.min_by(value, ts).alias("open"),
-        F.max_by(value, ts).alias("close"),
+        F.min_by(value, F.struct(ts, *order, value)).alias("open"),
+        F.max_by(value, F.struct(ts, *order, value)).alias("close"),
         volume.alias("volume"),
     ).withColumnRenamed("_slot", ts)
 
@@ -65,6 +71,13 @@ def freshness(
     return marks.withColumn("lag_seconds", lag).withColumn("fresh", F.col("lag_seconds") < buffer)
 
 
+def _matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join by keys of which null is one like others."""
+    named = right.select(*[F.col(name).alias(f"_key_{name}" if name in keys else name) for name in right.columns])
+    same = reduce(and_, [left[name].eqNullSafe(named[f"_key_{name}"]) for name in keys])
+    return left.join(named, same, how).drop(*[f"_key_{name}" for name in keys])
+
+
 def incremental_filter(
     df: DataFrame,
     marks: DataFrame | Column,
@@ -83,11 +96,11 @@ def incremental_filter(
     if isinstance(marks, Column):
         marked = df.withColumn("_mark", marks)
     else:
-        marked = df.join(marks.select(*keys, F.col(mark).alias("_mark")), keys, "left")
+        marked = _matched(df, marks.select(*keys, F.col(mark).alias("_mark")), keys, "left")
     newer = F.col("_mark").isNull() | (F.col(ts) > F.col("_mark"))
     if with_first:
         first = df.groupBy(*keys).agg(F.min(ts).alias("_first"))
-        marked = marked.join(first, keys) if keys else marked.withColumn("_first", first.scalar())
+        marked = _matched(marked, first, keys) if keys else marked.withColumn("_first", first.scalar())
         newer = newer | (F.col(ts) == F.col("_first"))
     return marked.where(newer).select(*columns)
 

@@ -23,6 +23,8 @@ full rows are joined back where they are part of the result.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,11 +69,18 @@ def date_spine(df: DataFrame, ts: str = "ts", keys: Sequence[str] = ("symbol",),
     return points.select(*keys, from_micros(freq.point(F.col("_i"), F.col("_min")), kind).alias(ts))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """The columns of ``left`` and the others of ``right``; null keys match null keys."""
+    named = right.select(*[F.col(name).alias(f"_on_{name}" if name in on else name) for name in right.columns])
+    same = reduce(and_, [left[name].eqNullSafe(named[f"_on_{name}"]) for name in on])
+    return left.join(named, same, how).drop(*[f"_on_{name}" for name in on])
+
+
 def _anchored(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add the first time of the series. No hint: AQE broadcasts the firsts if they turn out small,
     and splits a hot series in a sort-merge join if not."""
     first = rows.groupBy(*keys).agg(F.min("_t").alias("_min"))
-    return rows.join(first, list(keys)) if keys else rows.withColumn("_min", first.scalar())
+    return null_safe_join(rows, first, keys) if keys else rows.withColumn("_min", first.scalar())
 
 
 def _aligned(kind: T.DataType, freq: Frequency) -> bool:
@@ -180,7 +189,7 @@ def _fill_column(df, value, ts, keys, freq, regular, block_rows, back: bool) ->
     real = F.col("_here") & F.coalesce("_real", F.lit(False))
     known = points.where(real).select(*keys, to_micros(F.col(ts)).alias("_t"), F.col(value).alias("_filled"))
     empty = F.col(value).isNull()
-    looked_up = (rows.where(empty) if aligned else rows).join(known, [*keys, "_t"])
+    looked_up = null_safe_join(rows.where(empty) if aligned else rows, known, [*keys, "_t"])
     full = looked_up.withColumn(value, F.coalesce(value, "_filled")).select(*columns)
     if aligned:
         full = full.unionByName(rows.where(~empty).select(*columns))

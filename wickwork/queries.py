@@ -79,9 +79,11 @@ def patchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as dated prices per priority: several rows per day, no rows on every seventh day of
-    a year, and no price for some."""
-    orders = orders_of(spark, sf_dir).where(F.dayofyear("o_orderdate") % 7 != 0)
+    """Orders as dated prices per priority: several rows per day, those of every seventh day of a
+    year moved to the day before, and no price for some."""
+    orders = orders_of(spark, sf_dir)
+    gap = F.when(F.dayofyear("o_orderdate") % 7 == 0, 1).otherwise(0)
+    orders = orders.withColumn("o_orderdate", (F.col("o_orderdate") - F.make_interval(days=gap)).cast("timestamp_ntz"))
     price = F.when(F.col("o_custkey") % 5 != 0, F.col("o_totalprice"))
     return orders.select(
         F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ds"), price.alias("y"), "o_orderkey"
@@ -91,7 +93,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One candle per day, all orders together."""
     orders = orders_of(spark, sf_dir).withColumn("ts", F.col("o_orderdate").cast("timestamp"))
-    days = cd.ohlcv_candles(orders, "o_totalprice", "ts", (), 86_400)
+    days = cd.ohlcv_candles(orders, "o_totalprice", "ts", (), 86_400, order=["o_orderkey"])
     return days.select(F.col("ts").alias("Timestamp"), *[F.col(name).alias(name.title()) for name in PRICES])
 
 
@@ -151,13 +153,17 @@ SPINE_M = f"""
     SELECT symbol, unnest(generate_series(a, b, INTERVAL 1 MINUTE)) AS ts
     FROM (SELECT symbol, min(ts) AS a, max(ts) AS b FROM ({CM}) GROUP BY symbol)"""
 PRICES_SQL = """
-    SELECT o_orderpriority AS symbol, o_orderdate AS ds, CASE WHEN o_custkey % 5 <> 0 THEN o_totalprice END AS y, o_orderkey
-    FROM orders WHERE dayofyear(o_orderdate) % 7 <> 0"""
+    SELECT o_orderpriority AS symbol,
+           CASE WHEN dayofyear(o_orderdate) % 7 = 0 THEN o_orderdate - INTERVAL 1 DAY ELSE o_orderdate END AS ds,
+           CASE WHEN o_custkey % 5 <> 0 THEN o_totalprice END AS y, o_orderkey
+    FROM orders"""
 DAY_SPINE = f"""
     SELECT symbol, unnest(generate_series(a, b, INTERVAL 1 DAY)) AS ds
     FROM (SELECT symbol, min(ds) AS a, max(ds) AS b FROM ({PRICES_SQL}) GROUP BY symbol)"""
 DAILY_SQL = """
-    SELECT o_orderdate AS timestamp, min(o_totalprice) AS low, max(o_totalprice) AS high, CAST(count(*) AS DOUBLE) AS volume
+    SELECT o_orderdate AS timestamp, min(o_totalprice) AS low, max(o_totalprice) AS high,
+           arg_min(o_totalprice, o_orderkey) AS open, arg_max(o_totalprice, o_orderkey) AS close,
+           CAST(count(*) AS DOUBLE) AS volume
     FROM orders GROUP BY 1"""
 
 
@@ -272,13 +278,14 @@ def compact_partition(spark, sf_dir):
 @query(
     f"""
     WITH t AS (SELECT * FROM ({DAILY_SQL}) WHERE timestamp < '1999-01-01'),
-         s AS (SELECT timestamp, low, high + 1 AS high, volume FROM ({DAILY_SQL}) WHERE timestamp >= '1998-07-01')
+         s AS (SELECT timestamp, low, high + 1 AS high, open, close, volume FROM ({DAILY_SQL}) WHERE timestamp >= '1998-07-01')
     SELECT coalesce(s.timestamp, t.timestamp) AS timestamp, coalesce(s.low, t.low) AS low,
-           coalesce(s.high, t.high) AS high, coalesce(s.volume, t.volume) AS volume
+           coalesce(s.high, t.high) AS high, coalesce(s.open, t.open) AS open, coalesce(s.close, t.close) AS close,
+           coalesce(s.volume, t.volume) AS volume
     FROM t FULL JOIN s ON t.timestamp = s.timestamp"""
 )
 def upsert_by_timestamp(spark, sf_dir):
-    days = daily(spark, sf_dir).select("Timestamp", "Low", "High", "Volume")
+    days = daily(spark, sf_dir)
     table = new_table(spark, "upsert", days.schema)
     tables.append(days.where(F.col("Timestamp") < "1999-01-01"), table)
     tables.upsert(days.where(F.col("Timestamp") >= "1998-07-01").withColumn("High", F.col("High") + 1), table)
@@ -300,9 +307,9 @@ def json_rejects(spark, sf_dir):
     return rejects.groupBy(F.col("key").cast("string").alias("key")).agg(F.count(F.lit(1)).alias("rejects"))
 
 
-@query(f"SELECT ts AS timestamp, {SINGLE}, 'BTC-USD' AS symbol, strftime(ts, '%Y') AS year FROM ({CH}) WHERE symbol = 'click'")
+@query(f"SELECT ts AS timestamp, {SINGLE}, 'BTC-USD' AS symbol, strftime(ts, '%Y') AS year FROM ({CH})")
 def candle_enrich(spark, sf_dir):
-    rows = wire(hourly(spark, sf_dir).where(F.col("symbol") == "click"))
+    rows = wire(hourly(spark, sf_dir))
     return plain(records.enrich(records.in_declared_order(rows), "BTC-USD"))
 
 
@@ -385,13 +392,15 @@ def latest_timestamp_default(spark, sf_dir):
 @query(
     """
     SELECT d.symbol, strftime(coalesce(m.mark, d.ts), '%Y-%m-%d %H:%M:%S') AS latest
-    FROM (VALUES ('btc', TIMESTAMP '2015-07-20 21:37:00'), ('eth', TIMESTAMP '2016-05-18 00:14:00'),
-                 ('click', TIMESTAMP '2016-05-18 00:14:00'), ('view', TIMESTAMP '2016-05-18 00:14:00')) d(symbol, ts)
+    FROM (SELECT * FROM (VALUES ('btc', TIMESTAMP '2015-07-20 21:37:00'), ('eth', TIMESTAMP '2016-05-18 00:14:00'))
+          UNION ALL SELECT DISTINCT event_type, TIMESTAMP '2016-05-18 00:14:00' FROM events) d(symbol, ts)
     LEFT JOIN (SELECT event_type AS symbol, max(ts) AS mark FROM events GROUP BY 1) m ON d.symbol = m.symbol"""
 )
 def latest_per_symbol(spark, sf_dir):
-    marks = ENTITY_MARKS | {"click": ENTITY_MARKS["eth"], "view": ENTITY_MARKS["eth"]}
-    return cd.latest_per_symbol(ticks(spark, sf_dir), tables.entity_defaults(spark, marks))
+    """Every symbol of the table has a default, and so have two that are not in it."""
+    rows = ticks(spark, sf_dir)
+    seen = rows.select("symbol", F.to_timestamp(F.lit(ENTITY_MARKS["eth"])).alias("default_ts")).distinct()
+    return cd.latest_per_symbol(rows, tables.entity_defaults(spark, ENTITY_MARKS).unionByName(seen))
 
 
 @query("SELECT event_type AS symbol, min(ts) AS min_ts, max(ts) AS max_ts FROM events GROUP BY 1")
@@ -458,12 +467,13 @@ def date_spine(spark, sf_dir):
 @query(
     """
     SELECT symbol, unnest(list_filter(generate_series(date_trunc('month', a), b, INTERVAL 1 MONTH), lambda x: x >= a)) AS ds
-    FROM (SELECT o_orderpriority AS symbol, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders
-          WHERE o_orderdate > '1995-01-10' GROUP BY 1)"""
+    FROM (SELECT o_orderpriority AS symbol, min(o_orderdate) + INTERVAL 10 DAY AS a, max(o_orderdate) + INTERVAL 10 DAY AS b
+          FROM orders GROUP BY 1)"""
 )
 def date_spine_months(spark, sf_dir):
-    orders = orders_of(spark, sf_dir).where(F.col("o_orderdate") > "1995-01-10")
-    dated = orders.select(F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ds"))
+    """The dates are moved by ten days, so that the series begin within a month."""
+    moved = (F.col("o_orderdate") + F.expr("INTERVAL 10 DAYS")).cast("timestamp_ntz")
+    dated = orders_of(spark, sf_dir).select(F.col("o_orderpriority").alias("symbol"), moved.alias("ds"))
     return fills.date_spine(dated, "ds", freq="MS")
 
 
@@ -653,7 +663,7 @@ def supervised_single(spark, sf_dir):
 def _events_topic(spark, sf_dir, name: str) -> DataFrame:
     """Hourly candles as a stream of events: each twice, and malformed ones among them."""
     events = with_malformed(encoded(hourly(spark, sf_dir)))
-    topic = topic_of(spark, name, events.unionByName(events).repartition(4))
+    topic = topic_of(spark, name, events.unionByName(events))
     return ev.stream_events(spark, topic, "parquet", maxFilesPerTrigger="2")
 
 
@@ -690,3 +700,34 @@ def stream_upsert(spark, sf_dir):
     parsed = streams.parse_stream(_events_topic(spark, sf_dir, "merged"), KEYS, ranges.RANGE_SCHEMA)
     streams.upsert_stream(parsed, table, table, KEYS, trigger=None).awaitTermination()
     return plain(tables.read_table(spark, table).select(*WIRE))
+
+
+@query(WIRE_SQL)
+def stream_dedup_late(spark, sf_dir):
+    """Candles in two batches, the earlier half last: late rows with new keys are kept, copies are not."""
+    candles = wire(hourly(spark, sf_dir))
+    late = F.col("Timestamp") < "2024-01-15"
+    topic = scratch_path(spark, "late")
+    table = new_table(spark, "late", grain="day")
+    checkpoint = scratch_path(spark, "late-checkpoint")
+    for part in (candles.where(~late), candles):
+        ev.write_events(records.encode_events(part, fields=WIRE), topic, "parquet")
+        parsed = streams.parse_stream(ev.stream_events(spark, topic, "parquet"), KEYS, ranges.RANGE_SCHEMA, distinct=False)
+        streams.upsert_stream(parsed, table, table, KEYS, checkpoint, trigger=None, update=False).awaitTermination()
+    return plain(tables.read_table(spark, table).select(*WIRE))
+
+
+@query(f"SELECT symbol, timestamp, low, high, open, close, volume + 1 AS volume FROM ({WIRE_SQL})")
+def stream_upsert_last(spark, sf_dir):
+    """Each candle is sent, and then corrected twice: in the same batch, and in a later one."""
+    candles = wire(hourly(spark, sf_dir))
+    topic = scratch_path(spark, "corrected")
+    table = new_table(spark, "corrected", grain="day")
+    checkpoint = scratch_path(spark, "corrected-checkpoint")
+    more = candles.withColumn("Volume", F.col("Volume") + 1)
+    off = candles.withColumn("Volume", F.col("Volume") + 7)
+    for part in (candles.unionByName(off), more):
+        ev.write_events(records.encode_events(part, fields=WIRE), topic, "parquet")
+        parsed = streams.parse_stream(ev.stream_events(spark, topic, "parquet"), KEYS, ranges.RANGE_SCHEMA, distinct=False)
+        streams.upsert_stream(parsed, table, table, KEYS, checkpoint, trigger=None, arrival="Volume").awaitTermination()
+    return plain(tables.read_table(spark, table).select(*WIRE))

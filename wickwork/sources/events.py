@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 from wickwork.schema import EVENT_SCHEMA
 
 
+def need_servers(servers: str | None) -> str:
+    if not servers:
+        raise ValueError("the address of the topic's servers is missing")
+    return servers
+
+
 def _options(fmt: str, topic: str, servers: str | None, more: dict[str, str]) -> dict[str, str]:
     if fmt != "kafka":
         return more
-    return {"kafka.bootstrap.servers": servers or "localhost:9092", "subscribe": topic} | more
+    return {"kafka.bootstrap.servers": need_servers(servers), "subscribe": topic} | more
 
 
 def _load(reader, fmt: str, topic: str, servers: str | None, options: dict[str, str]) -> DataFrame:
@@ -39,7 +45,7 @@ def stream_events(spark: SparkSession, topic: str, fmt: str = "kafka", servers:
 def write_events(events: DataFrame, topic: str, fmt: str = "kafka", servers: str | None = None) -> None:
     """Send events to a topic, or add them to its replay folder."""
     if fmt == "kafka":
-        options = {"kafka.bootstrap.servers": servers or "localhost:9092", "topic": topic}
+        options = {"kafka.bootstrap.servers": need_servers(servers), "topic": topic}
         events.write.format(fmt).options(**options).save()
     else:
         events.write.format(fmt).mode("append").save(topic)

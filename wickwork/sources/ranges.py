@@ -155,7 +155,8 @@ class FeedReader(DataSourceStreamReader):
         given, step = self.options.given, self.options.granularity
         if "end" in given:
             return {"until": max(self.start, epoch_seconds(given["end"]))}
-        until = int(time.time()) - int(given.get("buffer", BUFFER_SECONDS))
+        # A candle is complete when its whole width has passed.
+        until = int(time.time()) - max(int(given.get("buffer", BUFFER_SECONDS)), step)
         return {"until": max(self.start, until - until % step)}
 
     def partitions(self, start, end):

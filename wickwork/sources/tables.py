@@ -173,9 +173,13 @@ def upsert(
     table: str,
     keys: Sequence[str] = ("Timestamp",),
     ts: str = "Timestamp",
+    update: bool = True,
 ) -> None:
     """Update the rows whose key is there, insert the others. Rows with a null key are left out.
 
+    Of copies of a key in the source the largest row counts. With ``update=False`` rows that are
+    there stay as they are.
+
     Row-level formats do this with ``MERGE INTO``. For plain files, the keys already there are
     looked up first, in the touched partitions and within the source's range of times, reading the
     key columns only. Partitions with none of them just get rows appended, which is all that
@@ -183,14 +187,23 @@ def upsert(
     again with the same source changes nothing.
     """
     spark, keys = source.sparkSession, list(keys)
+    others = [name for name in source.columns if name not in keys]
     source = source.dropna(how="any", subset=keys)
+    if others:
+        largest = F.max(F.struct(*others)).alias("_row")
+        source = source.groupBy(*keys).agg(largest).select(*[name if name in keys else F.col("_row")[name].alias(name) for name in source.columns])
+    else:
+        source = source.distinct()
     if supports_merge(spark, table):
+        changed = "WHEN MATCHED THEN UPDATE SET * " if update else ""
         match = " AND ".join(f"t.`{key}` = s.`{key}`" for key in keys)
         spark.sql(
-            f"MERGE INTO {table} t USING {{source}} s ON {match} WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *",
+            f"MERGE INTO {table} t USING {{source}} s ON {match} {changed}WHEN NOT MATCHED THEN INSERT *",
             source=source,
         )
         return
+    if ts not in keys:
+        raise ValueError(f"the keys of a table of plain files must hold {ts}, by which rows are found")
     grain = partition_column(spark, table)
     if grain is None:
         raise ValueError(f"{table} has no stored partition column to replace rows by")
@@ -205,6 +218,13 @@ def upsert(
         present = target.where(F.col(ts).between(F.lit(low), F.lit(high))).join(source, keys, "left_semi")
         changed = [row[0] for row in present.select(grain).distinct().collect()]
 
+        if changed and not update:
+            fresh = source.join(target, keys, "left_anti").select(*source.columns).persist()
+            try:
+                append(fresh, table, ts)
+            finally:
+                fresh.unpersist()
+            return
         in_changed = F.col(grain).isin(changed)
         if changed:
             kept = target.where(in_changed).join(source.where(in_changed), keys, "left_anti")
@@ -230,6 +250,8 @@ def compact(
     a task never has more than one file's rows. Other partitions are not touched.
     """
     values = list(dict.fromkeys(values))
+    if not values:
+        return
     rows = read_table(spark, table).where(F.col(partition).isin(values))
     columns = rows.columns
     time = to_micros(F.col(ts))

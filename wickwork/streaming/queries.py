@@ -14,8 +14,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from wickwork.functions.records import encode_events, parse_events, split_rejects
+from wickwork.operators.candles import dedup
 from wickwork.schema import CANDLE_SCHEMA, TRIGGER
 from wickwork.session import scratch_root
+from wickwork.sources.events import need_servers
 from wickwork.sources.tables import partition_column, supports_merge, upsert, with_partition
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -34,44 +36,41 @@ def checkpoint_path(spark: SparkSession, name: str, root: str | None = None) ->
 def dedup_stream(
     df: DataFrame,
     keys: Sequence[str] = ("Timestamp",),
-    within: str | None = None,
-    ts: str = "Timestamp",
     spread: int = 0,
 ) -> DataFrame:
     """The first row of each key to arrive, also across batches and restarts.
 
-    Without ``within`` every key is remembered for good. ``within`` (as ``"7 days"``) forgets keys
-    that long behind the newest timestamp, which bounds the state; a copy which comes later than
-    that passes again. ``spread`` puts a first step before it, in which copies of one key are
-    shared out among that many tasks, for topics where one key makes up much of the traffic.
+    Every key is remembered for good, on disk (RocksDB). A watermark would bound the state, but it
+    also drops late rows with new keys. To keep no state at all, leave this step out and let the
+    table decide: :func:`upsert_stream` with ``update=False`` keeps the first row of a key.
+    ``spread`` puts a first step before it, in which copies of one key are shared out among that
+    many tasks, for topics where one key makes up much of the traffic.
     """
+    use_rocksdb(df.sparkSession)
     keys = list(keys)
-    if within:
-        df = df.withWatermark(ts, within)
-
-    def distinct(rows: DataFrame, on: list[str]) -> DataFrame:
-        return rows.dropDuplicatesWithinWatermark(on) if within else rows.dropDuplicates(on)
-
     if spread > 1:
         share = F.spark_partition_id() % spread
-        df = distinct(df.withColumn("_share", share), [*keys, "_share"]).drop("_share")
-    return distinct(df, keys)
+        df = df.withColumn("_share", share).dropDuplicates([*keys, "_share"]).drop("_share")
+    return df.dropDuplicates(keys)
 
 
 def parse_stream(
     events: DataFrame,
     keys: Sequence[str] = ("Timestamp",),
     schema: T.StructType = CANDLE_SCHEMA,
-    within: str | None = None,
     spread: int = 0,
+    distinct: bool = True,
 ) -> DataFrame:
-    """Events to distinct candles; events without a usable key are left to :func:`reject_stream`."""
-    good, _ = split_rejects(events, schema, keys[0])
-    return dedup_stream(good, keys, within, keys[0], spread)
+    """Events to candles, distinct by key unless :func:`upsert_stream` is to choose among copies;
+    events without a usable key are left to :func:`reject_stream`."""
+    good, _ = split_rejects(events, schema, keys)
+    return dedup_stream(good, keys, spread) if distinct else good
 
 
-def reject_stream(events: DataFrame, schema: T.StructType = CANDLE_SCHEMA, key: str = "Timestamp") -> DataFrame:
-    """The raw events which do not parse to a record with a key."""
+def reject_stream(
+    events: DataFrame, schema: T.StructType = CANDLE_SCHEMA, key: str | Sequence[str] = "Timestamp"
+) -> DataFrame:
+    """The raw events which do not parse to a record with all its keys."""
     return split_rejects(events, schema, key)[1]
 
 
@@ -110,12 +109,21 @@ def upsert_stream(
     checkpoint: str | None = None,
     trigger: str | None = TRIGGER,
     ts: str = "Timestamp",
+    keep: str = "last",
+    arrival: str | None = None,
+    update: bool = True,
 ) -> StreamingQuery:
     """Upsert each micro-batch by key. A batch that is run again after a failure has no further
-    effect, so every event counts once."""
+    effect, so every event counts once.
+
+    Copies of a key within a batch are reduced to the ``keep`` one by ``arrival`` (to the largest
+    row without it). Corrections in later batches replace the row, unless ``update`` is false: then
+    the first row of a key stays, without any streaming state.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        upsert(batch, table, keys, ts)
+        rows = dedup(batch, keys, arrival, keep) if arrival else batch
+        upsert(rows, table, keys, ts, update)
 
     return _writer(df, name, checkpoint, trigger).foreachBatch(merge).start()
 
@@ -133,7 +141,7 @@ def feed_stream(
     topic as keyed JSON events."""
     writer = _writer(encode_events(candles), name, checkpoint, trigger).format(fmt)
     if fmt == "kafka":
-        return writer.option("kafka.bootstrap.servers", servers or "localhost:9092").option("topic", topic).start()
+        return writer.option("kafka.bootstrap.servers", need_servers(servers)).option("topic", topic).start()
     return writer.option("path", topic).start()
 
 
