@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from tests.compare import connect, differences
 from tests.llm.test_near_dedup import brute
 from wickwork.llm import byte_bpe, kneser_ney, personal_data
-from wickwork.llm.queries import QUERIES, trusted
+from wickwork.llm.queries import ORACLES, QUERIES, trusted
 from wickwork.llm.tables import written
 
 SF = "/root/testdata/sf0.001"
@@ -93,6 +94,12 @@ def test_empty_table(spark, outputs):
         assert docs.count() == 0
 
 
+@pytest.mark.parametrize("key", sorted(ORACLES))
+def test_query_matches_sql(spark, key):
+    with connect(SF) as con:
+        assert differences(spark, con, QUERIES[key], ORACLES[key], SF) is None
+
+
 def test_registered():
     names = set(entry.queries())
     assert set(QUERIES) | {"pipeline"} <= names

@@ -55,7 +55,34 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, list_filter(
+            regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+            lambda x: x <> '') AS w
+        FROM documents
+    ),
+    sets AS (
+        SELECT doc_id, CASE WHEN len(w) < 2 THEN w
+                            ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+        FROM words
+    ),
+    members AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+    links AS MATERIALIZED (
+        SELECT a.doc_id AS x, b.doc_id AS y FROM members a JOIN members b ON a.g = b.g AND a.doc_id <> b.doc_id
+        GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+    ),
+    reach AS (
+        SELECT doc_id AS x, doc_id AS y FROM sets
+        UNION
+        SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+    ),
+    labels AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1)
+    SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
+    FROM sets s JOIN labels l ON s.doc_id = l.doc_id
+    """
+)
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = near_dedup.near_duplicates(docs, width=2, threshold=80)
@@ -103,7 +130,42 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
-@query()
+@query(
+    r"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL
+        SELECT -1, turn, role, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role)
+    ),
+    sized AS (
+        SELECT *, len(regexp_extract_all(text, '\w+|[^\w\s]')) + 5 AS tokens,
+               24 + length(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS chars
+        FROM turns
+    ),
+    summed AS (
+        SELECT *, coalesce(sum(tokens) OVER (
+            PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM sized
+    ),
+    celled AS (SELECT *, CAST(before AS BIGINT) // 768 * 2 + CASE WHEN tokens > 768 THEN 1 ELSE 0 END AS cell FROM summed),
+    cells AS (
+        SELECT conv_id, cell, lead(start) OVER w AS next_start, row_number() OVER w AS number, count(*) OVER (PARTITION BY conv_id) AS windows
+        FROM (SELECT conv_id, cell, min(before) AS start FROM celled GROUP BY 1, 2)
+        WINDOW w AS (PARTITION BY conv_id ORDER BY cell)
+    ),
+    shown AS (
+        SELECT t.*, CASE WHEN before = 0 AND role = 'system' AND number = 1 THEN windows
+                         WHEN next_start - before <= 256 THEN 2 ELSE 1 END AS times
+        FROM celled t JOIN cells c ON t.conv_id IS NOT DISTINCT FROM c.conv_id AND t.cell = c.cell
+    )
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           length(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(chars * times) AS BIGINT) AS formatted_chars
+    FROM shown GROUP BY conv_id
+    """
+)
 def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(1).select(
