@@ -1,8 +1,12 @@
 import json
+import pathlib
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
+from wickwork import jobs
 from wickwork.jobs import parse
 from wickwork.loader import CandleLoader
 from wickwork.functions.records import split_rejects
@@ -213,3 +217,9 @@ def test_job_arguments():
     assert (args.job, args.loader["table"], args.checkpoint, args.once) == ("consume", "btc", "/cp", True)
     with pytest.raises(SystemExit):
         parse(["consume", "__import__('os')"])
+
+
+def test_job_starts_as_a_script():
+    script = pathlib.Path(jobs.__file__)
+    done = subprocess.run([sys.executable, str(script), "--help"], cwd="/", capture_output=True, text=True, timeout=60)
+    assert done.returncode == 0 and "consume" in done.stdout

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from wickwork.functions.frequency import SECOND, floor_div, to_micros
 from wickwork.operators.frames import block_width, order_value
 from wickwork.plans.blocks import drop_edges, forward, with_edges
+from wickwork.plans.joins import null_safe_join
 from wickwork.schema import BUFFER_SECONDS, DEFAULT_MARK, GRANULARITY_SECONDS, TIMESTAMP_FORMAT
 
 
@@ -71,13 +70,6 @@ def freshness(
     return marks.withColumn("lag_seconds", lag).withColumn("fresh", F.col("lag_seconds") < buffer)
 
 
-def _matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join by keys of which null is one like others."""
-    named = right.select(*[F.col(name).alias(f"_key_{name}" if name in keys else name) for name in right.columns])
-    same = reduce(and_, [left[name].eqNullSafe(named[f"_key_{name}"]) for name in keys])
-    return left.join(named, same, how).drop(*[f"_key_{name}" for name in keys])
-
-
 def incremental_filter(
     df: DataFrame,
     marks: DataFrame | Column,
@@ -96,11 +88,11 @@ def incremental_filter(
     if isinstance(marks, Column):
         marked = df.withColumn("_mark", marks)
     else:
-        marked = _matched(df, marks.select(*keys, F.col(mark).alias("_mark")), keys, "left")
+        marked = null_safe_join(df, marks.select(*keys, F.col(mark).alias("_mark")), keys, "left")
     newer = F.col("_mark").isNull() | (F.col(ts) > F.col("_mark"))
     if with_first:
         first = df.groupBy(*keys).agg(F.min(ts).alias("_first"))
-        marked = _matched(marked, first, keys) if keys else marked.withColumn("_first", first.scalar())
+        marked = null_safe_join(marked, first, keys) if keys else marked.withColumn("_first", first.scalar())
         newer = newer | (F.col(ts) == F.col("_first"))
     return marked.where(newer).select(*columns)
 

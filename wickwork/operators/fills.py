@@ -23,8 +23,6 @@ full rows are joined back where they are part of the result.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +30,7 @@ from pyspark.sql import types as T
 
 from wickwork.functions.frequency import Frequency, floor_div, from_micros, to_micros
 from wickwork.plans.blocks import BLOCK_ROWS, backward, drop_edges, forward, with_edges
+from wickwork.plans.joins import null_safe_join
 
 # Grid points made from one array; keeps the arrays of long gaps small.
 _RUN = 4096
@@ -69,13 +68,6 @@ def date_spine(df: DataFrame, ts: str = "ts", keys: Sequence[str] = ("symbol",),
     return points.select(*keys, from_micros(freq.point(F.col("_i"), F.col("_min")), kind).alias(ts))
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """The columns of ``left`` and the others of ``right``; null keys match null keys."""
-    named = right.select(*[F.col(name).alias(f"_on_{name}" if name in on else name) for name in right.columns])
-    same = reduce(and_, [left[name].eqNullSafe(named[f"_on_{name}"]) for name in on])
-    return left.join(named, same, how).drop(*[f"_on_{name}" for name in on])
-
-
 def _anchored(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add the first time of the series. No hint: AQE broadcasts the firsts if they turn out small,
     and splits a hot series in a sort-merge join if not."""

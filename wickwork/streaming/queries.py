@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from wickwork.functions.records import encode_events, parse_events, split_rejects
+from wickwork.functions.records import encode_events, split_rejects
 from wickwork.operators.candles import dedup
 from wickwork.schema import CANDLE_SCHEMA, TRIGGER
 from wickwork.session import scratch_root
