@@ -1,7 +1,6 @@
 import random
 import re
 
-from pyspark.sql import functions as F
 
 from wickwork.llm import secret_scan as ss
 from wickwork.llm.queries import QUERIES
