@@ -1,4 +1,4 @@
-"""Time the headline queries and print one JSON line.
+"""Time all queries of the time-series operators and print one JSON line.
 
 Every query is run to its end without collecting rows (``noop`` sink), once to warm up and then
 ``BENCH_RUNS`` times; the best run counts. Three further entries do what the baseline has figures
@@ -25,7 +25,7 @@ HEADLINE = list(q.QUERIES)
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     wanted = sys.argv[1:] or [*HEADLINE, "table_setup", "load_batch"]
     spark = build_session(
         "bench",
