@@ -123,3 +123,23 @@ def test_upsert_needs_the_time_and_reduces_copies(spark, name, location):
     tables.upsert(candles(spark, "2024-01-02", 2, 9.0), name, update=False)
     assert sorted(r.Close for r in tables.read_table(spark, name).collect()) == [3.0, 3.0, 9.0]
     tables.compact(spark, name, [], 2)
+
+
+def test_statements_are_sql(spark):
+    parse = spark._jsparkSession.sessionState().sqlParser().parsePlan
+    for fmt in ("parquet", "iceberg", "delta", "hudi"):
+        text = tables.create_statement("a.b", fmt, CANDLE_SCHEMA)
+        parse(text)
+        assert ("years(`Timestamp`)" in text) == (fmt == "iceberg")
+    for update in (True, False):
+        plan = parse(tables.merge_statement("t", ["Timestamp", "Symbol"], update).format(source="x")).toString()
+        assert "MergeIntoTable" in plan and ("updatestar" in plan) == update
+
+
+def test_compact_by_text_values(spark, name, location):
+    tables.create_table(spark, name, location=location)
+    for start in ("2023-01-01", "2023-06-01", "2024-01-01"):
+        tables.append(candles(spark, start, 5), name)
+    tables.compact(spark, name, ["2023"], 1)
+    assert {part: len(names) for part, names in files(location).items()} == {"year=2023": 1, "year=2024": 1}
+    assert tables.read_table(spark, name).count() == 15

@@ -1,7 +1,7 @@
 """Candle tables: create, append, upsert, compact, mark.
 
-Formats with row-level operations (``ROW_LEVEL``) partition by a hidden transform of the timestamp
-and are changed with ``MERGE INTO``. Tables of plain files have a stored partition column named
+Formats with row-level operations (``ROW_LEVEL``) are changed with ``MERGE INTO``; of these Iceberg
+partitions by a hidden transform of the timestamp. Tables of plain files have a stored partition column named
 after their grain (``year``, ``month`` or ``day``), and are changed by replacing the partitions
 concerned; they take one writer at a time, and a reader may see the change of several partitions
 half done. A year is the usual grain. Choose a finer one where a year of data is too much to
@@ -10,6 +10,7 @@ rewrite for a correction.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Sequence
 from contextlib import contextmanager
 
@@ -22,6 +23,9 @@ from wickwork.operators.candles import latest_timestamp
 from wickwork.schema import CANDLE_SCHEMA, DEFAULT_MARK, TIMESTAMP_FORMAT
 
 ROW_LEVEL = ("iceberg", "delta", "hudi")
+HIDDEN = ("iceberg",)
+#: Session settings are shared by threads; one write at a time may depend on them.
+_SETTINGS = threading.RLock()
 GRAINS = {
     "year": lambda ts: F.year(ts),
     "month": lambda ts: F.date_format(ts, "yyyy-MM"),
@@ -51,16 +55,9 @@ def create_table(
     """Create the table partitioned by ``grain``, unless it exists. True if it was created."""
     if spark.catalog.tableExists(table):
         return False
-    hidden = fmt in ROW_LEVEL
+    hidden = fmt in HIDDEN
     if use_sql:
-        columns = [f"`{field.name}` {field.dataType.simpleString()}" for field in schema]
-        if not hidden:
-            columns.append(f"`{grain}` {GRAIN_TYPES[grain]}")
-        part = f"{grain}s(`{ts}`)" if hidden else f"`{grain}`"
-        place = f" LOCATION '{location}'" if location else ""
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(columns)}) USING {fmt} PARTITIONED BY ({part}){place}"
-        )
+        spark.sql(create_statement(table, fmt, schema, ts, grain, location))
         return True
     empty = spark.createDataFrame([], schema)
     if hidden:
@@ -74,6 +71,26 @@ def create_table(
     return True
 
 
+def create_statement(
+    table: str, fmt: str, schema: T.StructType, ts: str = "Timestamp", grain: str = "year", location: str | None = None
+) -> str:
+    columns = [f"`{field.name}` {field.dataType.simpleString()}" for field in schema]
+    if fmt in HIDDEN:
+        part = f"{grain}s(`{ts}`)"
+    else:
+        columns.append(f"`{grain}` {GRAIN_TYPES[grain]}")
+        part = f"`{grain}`"
+    place = f" LOCATION '{location}'" if location else ""
+    return f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(columns)}) USING {fmt} PARTITIONED BY ({part}){place}"
+
+
+def merge_statement(table: str, keys: Sequence[str], update: bool = True) -> str:
+    """``{source}`` stands for the rows to merge."""
+    match = " AND ".join(f"t.`{key}` = s.`{key}`" for key in keys)
+    changed = "WHEN MATCHED THEN UPDATE SET * " if update else ""
+    return f"MERGE INTO {table} t USING {{source}} s ON {match} {changed}WHEN NOT MATCHED THEN INSERT *"
+
+
 def with_partition(df: DataFrame, ts: str = "Timestamp", grain: str = "year") -> DataFrame:
     """Add the stored partition column."""
     return df.withColumn(grain, GRAINS[grain](F.col(ts)).cast(GRAIN_TYPES[grain]))
@@ -148,14 +165,15 @@ def append(
 @contextmanager
 def _settings(spark: SparkSession, **values: str):
     """Session settings for one write; ``insertInto`` takes no options of its own."""
-    before = {key: spark.conf.get(key) for key in values}
-    try:
-        for key, value in values.items():
-            spark.conf.set(key, value)
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
+    with _SETTINGS:
+        before = {key: spark.conf.get(key) for key in values}
+        try:
+            for key, value in values.items():
+                spark.conf.set(key, value)
+            yield
+        finally:
+            for key, value in before.items():
+                spark.conf.set(key, value)
 
 
 def _replace_partitions(rows: DataFrame, table: str) -> None:
@@ -195,12 +213,10 @@ def upsert(
     else:
         source = source.distinct()
     if supports_merge(spark, table):
-        changed = "WHEN MATCHED THEN UPDATE SET * " if update else ""
-        match = " AND ".join(f"t.`{key}` = s.`{key}`" for key in keys)
-        spark.sql(
-            f"MERGE INTO {table} t USING {{source}} s ON {match} {changed}WHEN NOT MATCHED THEN INSERT *",
-            source=source,
-        )
+        grain = partition_column(spark, table)
+        if grain and grain not in source.columns:
+            source = with_partition(source, ts, grain)
+        spark.sql(merge_statement(table, keys, update), source=source)
         return
     if ts not in keys:
         raise ValueError(f"the keys of a table of plain files must hold {ts}, by which rows are found")
@@ -252,10 +268,15 @@ def compact(
     values = list(dict.fromkeys(values))
     if not values:
         return
-    rows = read_table(spark, table).where(F.col(partition).isin(values))
+    rows = read_table(spark, table)
     columns = rows.columns
+    if partition not in columns:  # hidden
+        rows = with_partition(rows, ts, partition)
+    # Values may come as text, as from a command line.
+    given = [F.lit(value).cast(rows.schema[partition].dataType) for value in values]
+    rows = rows.where(F.col(partition).isin(*given))
     time = to_micros(F.col(ts))
-    place = F.array_position(F.array(*[F.lit(value) for value in values]), F.col(partition)) - 1
+    place = F.array_position(F.array(*given), F.col(partition)) - 1
     if files > 1:
         fractions = [i / files for i in range(1, files)]
         cuts = rows.groupBy(partition).agg(F.percentile_approx(time, fractions, F.lit(100 * files)).alias("_cuts"))
