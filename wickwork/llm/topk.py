@@ -3,12 +3,12 @@
 A vector's dimensions are cut into ``LISTS`` groups. For a query, each group is a list of local
 scores (the products of its dimensions), and a candidate's score is the sum over the lists.
 
-1. Every list hands in its k best local scores and its smallest one. Taking the smallest for what
-   is not known gives lower bounds of whole scores; the k-th best of them is a score that the
+1. In every block of candidates each list hands in its k best local scores, with the whole scores
+   of these candidates. The k-th best whole score of all that is gathered is a score that the
    result surely reaches.
-2. That bound, less the sum of the smallest local scores and divided by the number of lists, is the
-   uniform cutoff: a candidate below it in every list cannot reach the bound. All entries at or
-   above the cutoff are collected; the better bounds they give drop most candidates.
+2. That score divided by the number of lists is the uniform cutoff: a candidate below it in every
+   list cannot reach the score. All entries at or above the cutoff are collected; where a part
+   is missing it is below the cutoff, and what cannot reach the score even so is dropped.
 3. The scores of those left are resolved exactly.
 
 Queries and candidates are packed into blocks of at most ``BLOCK`` rows or so. Query blocks meet
@@ -70,62 +70,50 @@ def _lists(width: int) -> list[slice]:
 
 
 def _rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+    arrays = [c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in schema]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-_BEST = pa.schema([("query_id", pa.int64()), ("list", pa.int32()), ("vec_id", pa.int64()), ("part", pa.int64()), ("lowest", pa.int64())])
-_ENTRY = pa.schema([("query_id", pa.int64()), ("list", pa.int32()), ("vec_id", pa.int64()), ("part", pa.int64())])
+_BEST = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_ENTRY = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), *[(f"part_{j}", pa.int64()) for j in range(LISTS)]])
 
 
 def _own(q_ids: np.ndarray, c_ids: np.ndarray) -> np.ndarray:
     return q_ids[:, None] == c_ids[None, :]
 
 
+def _parts(q: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+    return [products(q[:, dims], c[:, dims]) for dims in _lists(q.shape[1])]
+
+
 def _local_best(k: int):
+    """Whole scores of each list's k best entries of a block."""
+
     def best(batches):
         for _, q_ids, q, c_ids, c in _pairs(batches):
-            own = _own(q_ids, c_ids)
-            for j, dims in enumerate(_lists(q.shape[1])):
-                part = products(q[:, dims], c[:, dims])
+            own, parts = _own(q_ids, c_ids), _parts(q, c)
+            chosen = np.zeros(own.shape, bool)
+            few = min(k, len(c_ids))
+            for part in parts:
                 ranked = np.where(own, np.iinfo(np.int64).min, part)
-                top = np.argpartition(ranked, -min(k, len(c_ids)), axis=1)[:, -min(k, len(c_ids)) :]
-                lowest = np.repeat(part.min(axis=1), top.shape[1])
-                query = np.repeat(q_ids, top.shape[1])
-                vec = c_ids[top.ravel()]
-                keep = query != vec
-                score = np.take_along_axis(part, top, axis=1).ravel()
-                yield _rows(
-                    _BEST, query_id=query[keep], list=np.full(keep.sum(), j), vec_id=vec[keep], part=score[keep], lowest=lowest[keep]
-                )
+                np.put_along_axis(chosen, np.argpartition(ranked, -few, axis=1)[:, -few:], True, axis=1)
+            at, cand = np.nonzero(chosen & ~own)
+            yield _rows(_BEST, query_id=q_ids[at], vec_id=c_ids[cand], score=sum(parts)[at, cand])
 
     return best
 
 
 def _sufficient(batches):
-    """Entries at or above the cutoff of their query and list."""
+    """Candidates with an entry at or above their query's cutoff; entries below it are null."""
     for row, q_ids, q, c_ids, c in _pairs(batches):
-        cutoffs = row["cutoffs"].values.flatten().to_numpy().reshape(len(q_ids), LISTS)
-        own = _own(q_ids, c_ids)
-        for j, dims in enumerate(_lists(q.shape[1])):
-            part = products(q[:, dims], c[:, dims])
-            at, cand = np.nonzero((part >= cutoffs[:, j : j + 1]) & ~own)
-            yield _rows(_ENTRY, query_id=q_ids[at], list=np.full(len(at), j), vec_id=c_ids[cand], part=part[at, cand])
-
-
-def _bounds(entries: DataFrame, floors: DataFrame, k: int) -> DataFrame:
-    """Per query and candidate: known parts, a lower and an upper bound of the score; per query the
-    k-th best lower bound (null if there are fewer candidates)."""
-    parts = entries.groupBy("query_id", "vec_id").agg(
-        *[F.max(F.when(F.col("list") == j, F.col("part"))).alias(f"part_{j}") for j in range(LISTS)]
-    )
-    known = parts.join(floors, "query_id")
-    low = sum((F.coalesce(f"part_{j}", F.col("lowest")[j]) for j in range(LISTS)), F.lit(0))
-    high = sum((F.coalesce(f"part_{j}", F.col("highest")[j]) for j in range(LISTS)), F.lit(0))
-    known = known.select("query_id", "vec_id", low.alias("low"), high.alias("high"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("low"), "vec_id")
-    reach = known.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
-    reach = reach.groupBy("query_id").agg(F.min("low").alias("reach"), F.count(F.lit(1)).alias("_found"))
-    return known.join(reach.withColumn("reach", F.when(F.col("_found") >= k, F.col("reach"))), "query_id")
+        cutoff = row["cutoffs"].values.to_numpy()[:, None]
+        parts = _parts(q, c)
+        at, cand = np.nonzero(np.any([part >= cutoff for part in parts], axis=0) & ~_own(q_ids, c_ids))
+        known = {}
+        for j, part in enumerate(parts):
+            values = part[at, cand]
+            known[f"part_{j}"] = pa.array(values, pa.int64(), mask=values < cutoff[at, 0])
+        yield _rows(_ENTRY, query_id=q_ids[at], vec_id=c_ids[cand], **known)
 
 
 def top_k(
@@ -170,33 +158,22 @@ def top_k(
     offered = written(offered.select(F.col("q_block").cast("long"), "c_block", "c_ids", "c_vecs"), "topk-candidates")
 
     pairs = offered.join(asked, "q_block").drop("c_block")
-    best = written(pairs.select("q_ids", "q_vecs", "c_ids", "c_vecs").mapInArrow(_local_best(k), "query_id long, list int, vec_id long, part long, lowest long"), "topk-best")
-    by_list = best.groupBy("query_id", "list").agg(F.min("lowest").alias("lowest"), F.max("part").alias("highest"))
-    floors = by_list.groupBy("query_id").agg(
-        F.array(*[F.max(F.when(F.col("list") == j, F.col("lowest"))) for j in range(LISTS)]).alias("lowest"),
-        F.array(*[F.max(F.when(F.col("list") == j, F.col("highest"))) for j in range(LISTS)]).alias("highest"),
-    )
-    ranked = Window.partitionBy("query_id", "list").orderBy(F.desc("part"), "vec_id")
-    gathered = best.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= k)
-    first = _bounds(gathered, floors, k).groupBy("query_id").agg(F.first("reach").alias("reach"))
-    lowest = F.aggregate("lowest", F.lit(0).cast("long"), lambda a, x: a + x)
-    # reach - sum of lowest, shared out and rounded down: no candidate that reaches it is below in every list.
-    share = F.floor((F.col("reach") - lowest) / LISTS)
+    best = pairs.drop("q_block").mapInArrow(_local_best(k), "query_id long, vec_id long, score long")
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    reached = best.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") == k).select("query_id", F.col("score").alias("reach"))
+    reached = written(reached, "topk-reached")
+    # The least c with: all parts below c, hence the sum below what is reached. Exact for any long.
+    floor = F.expr(f"(reach - 1 - pmod(reach - 1, {LISTS})) div {LISTS}")
     nothing = F.lit(-(2**63)).cast("long")
-    cutoffs = floors.join(first, "query_id", "left").select(
-        "query_id", F.transform("lowest", lambda x: F.coalesce(x + share, nothing)).alias("cutoff"), "lowest"
-    )
-    cutoffs = written(cutoffs, "topk-cutoffs")
-
-    numbered = asked.select("q_block", F.posexplode("q_ids").alias("at", "query_id"))
-    per_block = numbered.join(cutoffs, "query_id", "left").groupBy("q_block").agg(
-        F.sort_array(F.collect_list(F.struct("at", F.coalesce("cutoff", F.array_repeat(nothing, LISTS)).alias("cutoff")))).alias("_c")
-    )
+
+    numbered = asked.select("q_block", F.posexplode("q_ids").alias("at", "query_id")).join(reached, "query_id", "left")
+    cutoff = F.coalesce(floor + 1, nothing)
+    per_block = numbered.groupBy("q_block").agg(F.sort_array(F.collect_list(F.struct("at", cutoff.alias("cutoff")))).alias("_c"))
     bounded = pairs.join(per_block.select("q_block", F.col("_c.cutoff").alias("cutoffs")), "q_block").drop("q_block")
-    entries = bounded.mapInArrow(_sufficient, "query_id long, list int, vec_id long, part long")
-    # What is not among the entries is below the cutoff.
-    limits = cutoffs.select("query_id", "lowest", F.col("cutoff").alias("highest"))
-    left = _bounds(entries, limits, k).where(F.col("reach").isNull() | (F.col("high") >= F.col("reach")))
+    parts = ", ".join(f"part_{j} long" for j in range(LISTS))
+    entries = bounded.mapInArrow(_sufficient, f"query_id long, vec_id long, {parts}")
+    high = sum((F.coalesce(f"part_{j}", floor) for j in range(LISTS)), F.lit(0).cast("long"))
+    left = entries.join(reached, "query_id", "left").where(F.col("reach").isNull() | (high >= F.col("reach")))
 
     a = sound.where("is_query").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q_vec"))
     both = left.select("query_id", "vec_id").join(a, "query_id").join(sound.select("vec_id", "vec"), "vec_id")
