@@ -11,7 +11,7 @@ Work grows with the documents, not with the pairs inside a group of copies:
 
 * documents with equal sets form one *class*, by a map-side combined aggregation; everything
   below is between classes, so thousands of copies are one class;
-* in each band's bucket every class is first paired with two hubs only (stars). Pairs pass the
+* in each band's bucket every class is first paired with one hub only (a star). Pairs pass the
   size bound, then the estimate of the sketches (corrected for chance collisions of registers),
   then the comparison of the full sets. Stars join groups of near copies into components;
 * what shares a bucket but is still in different components is then compared as well, so no link
@@ -220,20 +220,18 @@ def near_duplicates(
 
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
     bucketed = classes.select("node", "n", F.explode(keys).alias("key"))
-    hubs = bucketed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far_hub")).where("hub < far_hub")
+    hubs = bucketed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub < _last").drop("_last")
     shared = written(bucketed.join(hubs, "key"), "dedup-buckets")
 
     sets = written(_texts(docs, classes, shared, doc_id, text), "dedup-texts")
     sized = classes.select("node", "n", "registers")
     link = _Linker(sets, sized, width, threshold)
 
-    hubs_of = F.explode(F.array("hub", "far_hub"))
-    star = shared.select("node", "n", hubs_of.alias("to")).where("node <> to")
-    star = star.select(F.col("node").alias("a"), F.col("to").alias("b")).distinct()
+    star = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     stars = written(link(star), "dedup-links")
     labels = components(stars)
 
-    placed = shared.join(labels, "node", "left").select("key", "node", "n", "hub", "far_hub", F.coalesce("label", "node").alias("label"))
+    placed = shared.join(labels, "node", "left").select("key", "node", "n", "hub", F.coalesce("label", "node").alias("label"))
     sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("of_label"))
     sizes = sizes.groupBy("key").agg(
         F.max_by("label", F.struct("of_label", "label")).alias("main"), F.max("of_label").alias("_main"), F.sum("of_label").alias("members")
@@ -241,7 +239,7 @@ def near_duplicates(
     sizes = sizes.where("members > _main").select("key", "main", "members", (F.col("members") - F.col("_main")).alias("visitors"))
     apart = written(placed.join(sizes, "key"), "dedup-apart")
 
-    x, y = (apart.where((F.col("members") <= LARGE) & ~F.col("node").isin(F.col("hub"), F.col("far_hub"))).alias(name) for name in "xy")
+    x, y = (apart.where((F.col("members") <= LARGE) & (F.col("node") != F.col("hub"))).alias(name) for name in "xy")
     close = (F.col("x.n") * threshold <= F.col("y.n") * 100) & (F.col("y.n") * threshold <= F.col("x.n") * 100)
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & close)
     pairs = link(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
