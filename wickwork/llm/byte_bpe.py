@@ -36,11 +36,11 @@ from wickwork.llm.tables import adding, with_python
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens in each of the cache's two generations.
-CACHED = 200_000
+CACHED = 60_000
 #: Longer pre-tokens (a text without a space) are not kept in the cache.
 CACHED_CHARS = 40
 #: Characters encoded together.
-GROUP_CHARS = 1_000_000
+GROUP_CHARS = 500_000
 
 
 def byte_characters() -> list[str]:

@@ -20,9 +20,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes that go to a Python worker at a time, unless the session says otherwise. Spark's own 64 MB are
+#: a multiple of that once they are Python strings.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def with_python(spark: SparkSession) -> SparkSession:
     """Executors are about to run functions of this package."""
     ship_package(use_utc(spark))
+    if spark.conf.get(_BATCH) == f"{64 << 20}b":
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
     return spark
 
 
