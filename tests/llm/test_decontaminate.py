@@ -46,6 +46,19 @@ def test_verbatim_reparameterised_and_clean(spark, docs, bench):
     assert sorted(r.doc_id for r in left.collect()) == [4, 5, 8]
 
 
+def test_one_inconsistent_value_does_not_hide_the_rest(spark, docs, bench):
+    repeated = TRAIN.replace("returns to Oslo", "returns to Paris")
+    merged = TRAIN.replace("40", "120")
+    renamed = repeated.replace("9:30", "8:15").replace("Bergen", "Lund")
+    # The same name stands for two in every window that has both; 'a b' apart, none is left whole.
+    chance = "Anna paid Berta and Clara paid Dora and Emma paid Frieda while we saw it"
+    rows = [(1, repeated), (2, merged), (3, renamed), (4, " ".join(renamed.split()[:19])), (5, re.sub("Berta|Clara|Dora|Emma|Frieda", "Anna", chance))]
+    got = found(dc.leaks(docs(*rows), bench((10, TRAIN), (11, f"then {chance}"))))
+    assert set(got) == {(1, 10), (2, 10), (3, 10), (4, 10)}
+    assert got[(1, 10)].n_changed == 1 and got[(1, 10)].n_matched == got[(1, 10)].n_windows
+    assert got[(3, 10)].n_matched >= got[(4, 10)].n_matched
+
+
 def test_edges(spark, docs, bench):
     rows = [(1, None), (1, ""), (2, TRAIN), (2, TRAIN), (2, "another text"), (None, TRAIN), (3, TRAIN + " ." * 50_000), (4, (TRAIN + " ; ") * 3)]
     items = bench((10, TRAIN), (10, TRAIN), (None, TRAIN))

@@ -4,9 +4,11 @@ Texts are brought to templates: numbers, units after numbers, and names (capital
 sentence) become typed placeholders, the rest is lower case without punctuation. Windows of
 ``WINDOW`` template tokens are hashed; a document whose window hash is among the benchmark's is
 looked at closely: its windows are joined with the benchmark's by hash and counted along one
-alignment, and the values in the placeholders are compared. A re-parameterised question replaces each
-value by one other throughout, so values must map one to one within a type; where the same
-value stands for two, the template has only been met by chance.
+alignment, and the values in the placeholders are compared. Windows with the item's own values count
+as they are. A re-parameterised question replaces each value by one other throughout, so of the
+windows with other values the longest run counts in which values map one to one within a type; where
+the same value stands for two, the template has only been met by chance. What is found in a part
+of a document is thus found in the whole.
 
 DataFrame functions only. The benchmark's distinct hashes are broadcast if there are at most
 ``BROADCAST`` of them, and joined by shuffle otherwise; documents are never expanded into pairs with
@@ -101,6 +103,32 @@ def benchmark_windows(benchmark: DataFrame, width: int, item_id: str = "item_id"
     return rows.drop("_as_is").join(counts, "item")
 
 
+def _one_to_one(slots: Column) -> Column:
+    """Whether the pairs of all windows map values one to one."""
+    pairs = F.array_distinct(F.flatten(slots))
+    return (F.size(pairs) == F.size(F.array_distinct(pairs["raw"]))) & (F.size(pairs) == F.size(F.array_distinct(pairs["found"])))
+
+
+def _clash(some: Column, others: Column) -> Column:
+    """Whether a value of one window's pairs has another partner in the other's."""
+    return F.exists(some, lambda p: F.exists(others, lambda q: (p["raw"] == q["raw"]) != (p["found"] == q["found"])))
+
+
+def _longest_run(windows: Column) -> Column:
+    """The longest run of neighbours in ``windows`` (pos, slots) whose values map one to one, the first of equals."""
+    none = F.slice(windows, 1, 0)
+
+    def extended(run: Column, window: Column) -> Column:
+        last = F.coalesce(F.array_max(F.transform(run, lambda w, i: F.when(_clash(w["slots"], window["slots"]), i + 1).otherwise(0))), F.lit(0))
+        return F.when(_clash(window["slots"], window["slots"]), none).otherwise(F.concat(F.slice(run, last + 1, F.size(run)), F.array(window)))
+
+    def step(state: Column, window: Column) -> Column:
+        run = extended(state["run"], window)
+        return F.struct(run.alias("run"), F.when(F.size(run) > F.size(state["best"]), run).otherwise(state["best"]).alias("best"))
+
+    return F.aggregate(windows, F.struct(none.alias("run"), none.alias("best")), step, lambda state: state["best"])
+
+
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -115,6 +143,7 @@ def leaks(
 
     Null and empty texts, of documents or items, match nothing; empty tables give no rows. Repeated
     rows count once; documents that share an id but not the text are told apart by ``text_hash``.
+    ``n_slots`` and ``n_changed`` are about the windows counted.
     A document that holds an item several times has it once, at the alignment with the most
     windows, the first of equals. Extra columns play no part.
     """
@@ -157,11 +186,16 @@ def leaks(
     paired = F.filter(F.arrays_zip("raw", "found"), lambda p: p["raw"].rlike(f"[{NAME}{NUMBER}{UNIT}]"))
     met = met.select("doc_id", "text_hash", "item", "item_id", "n_windows", "at", "pos", paired.alias("slots"))
     aligned = met.groupBy("doc_id", "text_hash", "item", "item_id", "n_windows", (F.col("at") - F.col("pos")).alias("start")).agg(
-        F.count_distinct("pos").alias("n_matched"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+        F.array_sort(F.collect_set(F.struct("pos", "slots"))).alias("windows")
     )
-    one_to_one = (F.size("slots") == F.size(F.array_distinct("slots.raw"))) & (F.size("slots") == F.size(F.array_distinct("slots.found")))
+    verbatim = F.filter("windows", lambda w: F.forall(w["slots"], lambda p: p["raw"] == p["found"]))
+    changed = F.filter("windows", lambda w: F.exists(w["slots"], lambda p: p["raw"] != p["found"]))
+    aligned = aligned.withColumn("_same", verbatim).withColumn("_other", changed)
+    aligned = aligned.withColumn("_other", F.when(_one_to_one(F.col("_other.slots")), F.col("_other")).otherwise(_longest_run(F.col("_other"))))
+    aligned = aligned.withColumn("_counted", F.concat("_same", "_other"))
+    aligned = aligned.withColumn("n_matched", F.size("_counted")).withColumn("slots", F.array_distinct(F.flatten("_counted.slots")))
     enough = F.least(F.lit(ENOUGH), F.ceil(F.col("n_windows") * 0.75))
-    aligned = aligned.where(one_to_one & (F.col("n_matched") >= enough))
+    aligned = aligned.where(F.col("n_matched") >= enough)
     changed = F.size(F.filter("slots", lambda p: p["raw"] != p["found"]))
     best = aligned.groupBy("doc_id", "text_hash", "item_id").agg(
         F.min_by(
