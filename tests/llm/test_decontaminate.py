@@ -59,6 +59,22 @@ def test_one_inconsistent_value_does_not_hide_the_rest(spark, docs, bench):
     assert got[(3, 10)].n_matched >= got[(4, 10)].n_matched
 
 
+def test_items_of_few_words(spark, docs, bench):
+    names = "Did Anna Berta Clara Dora Emma Frieda Gerda Hanna and Ida meet Jana Klara Lena Maria in Oslo"
+    items = bench((10, "What is 3 plus 4?"), (11, "What is 12 + 30?"), (12, "1 2 3 5 8 13 21 34 55 89"), (13, names), (14, TRAIN + " 1 2 3 4 5 6 7 8 9"))
+    rows = [
+        (1, "We ask: what is 3 plus 4? Seven."),
+        (2, "x What is 12 + 30? y"),
+        (3, "the row 1, 2, 3, 5, 8, 13, 21, 34, 55, 89 of numbers"),
+        (4, f"so: {names}?"),
+        (5, "We ask: what is 3 plus 5? Eight. What is 1230? The row 1 2 3 5 8 14 22 35 56 90"),
+        (6, " ".join(TRAIN.replace("Oslo", "Malmo").replace("40", "3").split()[:18])),
+    ]
+    got = found(dc.leaks(docs(*rows), items))
+    assert set(got) == {(1, 10), (2, 11), (3, 12), (4, 13), (6, 14)}
+    assert [got[k].n_changed for k in sorted(got)] == [0, 0, 0, 0, 1]
+
+
 def test_edges(spark, docs, bench):
     rows = [(1, None), (1, ""), (2, TRAIN), (2, TRAIN), (2, "another text"), (None, TRAIN), (3, TRAIN + " ." * 50_000), (4, (TRAIN + " ; ") * 3)]
     items = bench((10, TRAIN), (10, TRAIN), (None, TRAIN))

@@ -2,7 +2,8 @@
 
 Texts are brought to templates: numbers, units after numbers, and names (capitalised words inside a
 sentence) become typed placeholders, the rest is lower case without punctuation. Windows of
-``WINDOW`` template tokens are hashed; a document whose window hash is among the benchmark's is
+``WINDOW`` template tokens are hashed (those of little but placeholders with their values, so that exact
+copies of them are met); a document whose window hash is among the benchmark's is
 looked at closely: its windows are joined with the benchmark's by hash and counted along one
 alignment, and the values in the placeholders are compared. Windows with the item's own values count
 as they are. A re-parameterised question replaces each value by one other throughout, so of the
@@ -23,8 +24,11 @@ from pyspark.sql import functions as F
 from wickwork.llm.tables import written
 
 WINDOW = 8
-#: Windows with fewer words that are no placeholders are no evidence.
+#: Windows with fewer words that are no placeholders are no evidence as templates; they count where their
+#: values are the same.
 WORDS = 4
+#: Forms of a text by which windows are met: templates, and words and values as they are (case aside).
+FORMS = ("canon", "raw")
 #: So many windows of one alignment (13 tokens), or three quarters of an item's where that is less.
 ENOUGH = 6
 BROADCAST = 500_000
@@ -51,56 +55,72 @@ def template(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, rf"([{NAME}{NUMBER}{UNIT}])[^\s{NAME}{NUMBER}{UNIT}]*+", "$1"))
 
 
+def values(text: Column) -> Column:
+    """A marked text's words and values in lower case. Numbers keep their marks, so that 3 + 4 is not 34."""
+    return F.lower(F.translate(text, NAME + UNIT, ""))
+
+
 def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
-def _window_hashes(words: Column, width: int) -> Column:
+def in_forms(texts: DataFrame, *keys: str) -> DataFrame:
+    """The ``keys`` and the tokens of column ``_marked`` in each form; all forms have the same tokens."""
+    of = {"canon": template, "raw": values}
+    return texts.select(*keys, *[tokens(of[form](F.col("_marked"))).alias(form) for form in FORMS])
+
+
+def _hash(form: str, window: Column) -> Column:
+    return F.xxhash64(F.lit(FORMS.index(form)), window)
+
+
+def _window_hashes(form: str, width: int) -> Column:
     """The hash of each window; none where there are fewer words."""
-    last = F.size(words) - width
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(words, i + 1, F.lit(width)))))
+    last = F.size(form) - width
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: _hash(form, F.slice(form, i + 1, F.lit(width)))))
 
 
 def _is_mark(token: Column) -> Column:
     return token.substr(1, 1).isin(NAME, NUMBER, UNIT)
 
 
-def _windows(texts: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Rows (keys, pos, hash, words, slots) for a frame with ``raw`` and ``canon`` token arrays."""
-    last = F.size("canon") - width
+def _windows(texts: DataFrame, keys: list[str], width: int, forms: list[str]) -> DataFrame:
+    """Rows (keys, at, found, hash), one per window and form, for a frame with token arrays."""
+    last = F.size("raw") - width
     starts = F.when(last >= 0, F.sequence(F.lit(0), last))
-    rows = texts.select(*keys, "raw", "canon", F.explode(starts).alias("pos"))
-    raw, canon = F.slice("raw", F.col("pos") + 1, F.lit(width)), F.slice("canon", F.col("pos") + 1, F.lit(width))
-    return rows.select(*keys, "pos", F.xxhash64(canon).alias("hash"), raw.alias("raw"), canon.alias("canon"))
+    rows = texts.select(*keys, *FORMS, F.explode(starts).alias("at"))
+    window = {form: F.slice(form, F.col("at") + 1, F.lit(width)) for form in FORMS}
+    rows = rows.select(*keys, "at", window["raw"].alias("found"), F.array(*[_hash(form, window[form]) for form in forms]).alias("_hashes"))
+    return rows.select(*keys, "at", "found", F.explode("_hashes").alias("hash"))
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """item_id, item (key), size (window length), pos, hash, raw tokens, canon tokens, n_windows.
+    """item_id, item (key), size (window length), pos, raw, canon, free, form, hash, n_windows, n_free.
 
     An item shorter than a window is one window of its own length. A first word in upper case may be
-    a name where the item is quoted inside a sentence, so its window is there both ways.
+    a name where the item is quoted inside a sentence, so its window is there both ways. Windows
+    with enough words are ``free``: their values may differ. Others are there with their values.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("text is not null").distinct()
     items = items.withColumn("item", F.xxhash64("item_id", "text")).withColumn("_marked", marked(F.col("text")))
-    items = items.select("item_id", "item", tokens(F.col("_marked")).alias("raw"), tokens(template(F.col("_marked"))).alias("canon"))
-    first = F.col("raw")[0]
-    capital = first.rlike(r"^\p{Lu}\p{Ll}+$")
+    items = items.withColumn("_first", tokens(F.col("_marked"))[0])
+    items = in_forms(items, "item_id", "item", "_first").where("size(canon) > 0")
     rest = F.slice("canon", F.lit(2), F.greatest(F.size("canon") - 1, F.lit(0)))
-    quoted = items.where("size(raw) > 0").where(capital).select(
-        "item_id", "item", F.concat(F.array(F.concat(F.lit(NAME), first)), F.slice("raw", F.lit(2), F.greatest(F.size("raw") - 1, F.lit(0)))).alias("raw"),
-        F.concat(F.array(F.lit(NAME)), rest).alias("canon"),
-    )
+    quoted = items.where(F.col("_first").rlike(r"^\p{Lu}\p{Ll}+$")).withColumn("canon", F.concat(F.array(F.lit(NAME)), rest))
     both = items.withColumn("_as_is", F.lit(True)).unionByName(quoted.withColumn("_as_is", F.lit(False)))
-    both = both.where("size(canon) > 0").withColumn("size", F.least(F.size("canon"), F.lit(width)))
+    both = both.withColumn("size", F.least(F.size("canon"), F.lit(width)))
     rows = both.select("*", F.explode(F.sequence(F.lit(0), F.size("canon") - F.col("size"))).alias("pos")).where("_as_is or pos = 0")
-    rows = rows.select(
-        "item_id", "item", "size", "pos", "_as_is",
-        F.slice("raw", F.col("pos") + 1, F.col("size")).alias("raw"), F.slice("canon", F.col("pos") + 1, F.col("size")).alias("canon"),
-    )
-    words = F.size(F.filter("canon", lambda t: ~_is_mark(t)))
-    rows = rows.withColumn("hash", F.xxhash64("canon")).where(words >= F.least(F.lit(WORDS), F.col("size")))
-    counts = rows.groupBy("item").agg(F.count_distinct("pos").alias("n_windows"))
-    return rows.drop("_as_is").join(counts, "item")
+    rows = rows.select("item_id", "item", "size", "pos", "_as_is", *[F.slice(form, F.col("pos") + 1, F.col("size")).alias(form) for form in FORMS])
+
+    def worded(form: str) -> Column:
+        return F.size(F.filter(form, lambda t: ~_is_mark(t))) >= F.least(F.lit(WORDS), F.col("size"))
+
+    rows = rows.withColumn("free", worded("canon"))
+    met_by = {"canon": F.col("free"), "raw": F.col("_as_is") & ~F.col("free")}
+    forms = F.array(*[F.when(met_by[form], F.struct(F.lit(form).alias("form"), _hash(form, F.col(form)).alias("hash"))) for form in FORMS])
+    rows = rows.select("item_id", "item", "size", "pos", "raw", "canon", "free", F.explode(F.filter(forms, lambda f: f.isNotNull())).alias("_f"))
+    counts = rows.groupBy("item").agg(F.count_distinct("pos").alias("n_windows"), F.count_distinct(F.when(F.col("free"), F.col("pos"))).alias("n_free"))
+    return rows.select("*", "_f.*").drop("_f").join(counts, "item")
 
 
 def _one_to_one(slots: Column) -> Column:
@@ -150,7 +170,9 @@ def leaks(
     items = written(benchmark_windows(benchmark, width), "leaks-benchmark")
     hashes = items.select("hash").distinct()
     small = hashes.count() <= BROADCAST
-    lengths = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most ``width`` numbers
+    lengths: dict[int, list[str]] = {}
+    for r in items.select("size", "form").distinct().orderBy("size", "form").collect():  # at most ``width`` numbers
+        lengths.setdefault(r["size"], []).append(r["form"])
 
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text <> ''")
     keyed = plain.withColumn("text_hash", F.xxhash64("text"))
@@ -158,11 +180,10 @@ def leaks(
     def hinted(frame: DataFrame) -> DataFrame:
         return F.broadcast(frame) if small else frame
 
-    words = tokens(template(marked(F.col("text"))))
+    formed = in_forms(keyed.withColumn("_marked", marked(F.col("text"))), "doc_id", "text_hash")
     screened = None
-    for length in lengths:
-        windows = keyed.select("doc_id", "text_hash", words.alias("canon"))
-        windows = windows.select("doc_id", "text_hash", F.explode(_window_hashes(F.col("canon"), length)).alias("hash"))
+    for length, forms in lengths.items():
+        windows = formed.select("doc_id", "text_hash", F.explode(F.flatten(F.array(*[_window_hashes(form, length) for form in forms]))).alias("hash"))
         found = windows.join(hinted(hashes), "hash", "left_semi").select("doc_id", "text_hash")
         screened = found if screened is None else screened.unionByName(found)
     if screened is None:
@@ -171,31 +192,39 @@ def leaks(
 
     near = keyed.join(screened, keyed.doc_id.eqNullSafe(screened._id) & (keyed.text_hash == screened._hash), "left_semi")
     near = near.dropDuplicates(["doc_id", "text_hash"]).withColumn("_marked", marked(F.col("text")))
-    near = near.select("doc_id", "text_hash", tokens(F.col("_marked")).alias("raw"), tokens(template(F.col("_marked"))).alias("canon"))
+    near = in_forms(near, "doc_id", "text_hash")
     met = None
-    for length in lengths:
-        mine = _windows(near, ["doc_id", "text_hash"], length).withColumnRenamed("pos", "at").withColumnRenamed("raw", "found").drop("canon")
+    for length, forms in lengths.items():
+        mine = _windows(near, ["doc_id", "text_hash"], length, forms)
         theirs = items.where(F.col("size") == length)
         one = mine.join(hinted(theirs) if small else theirs, "hash")
         met = one if met is None else met.unionByName(one)
     if met is None:
-        mine = _windows(near, ["doc_id", "text_hash"], width).withColumnRenamed("pos", "at").withColumnRenamed("raw", "found").drop("canon")
-        met = mine.join(items, "hash")
+        met = _windows(near, ["doc_id", "text_hash"], width, list(FORMS)).join(items, "hash")
 
     # Values in placeholders: (what the item has, what the document has), with the kind in front.
-    paired = F.filter(F.arrays_zip("raw", "found"), lambda p: p["raw"].rlike(f"[{NAME}{NUMBER}{UNIT}]"))
-    met = met.select("doc_id", "text_hash", "item", "item_id", "n_windows", "at", "pos", paired.alias("slots"))
-    aligned = met.groupBy("doc_id", "text_hash", "item", "item_id", "n_windows", (F.col("at") - F.col("pos")).alias("start")).agg(
-        F.array_sort(F.collect_set(F.struct("pos", "slots"))).alias("windows")
+    paired = F.filter(F.arrays_zip("canon", "raw", "found"), lambda p: p["canon"].rlike(f"[{NAME}{NUMBER}{UNIT}]"))
+    paired = F.transform(paired, lambda p: F.struct(F.concat(p["canon"], p["raw"]).alias("raw"), F.concat(p["canon"], p["found"]).alias("found")))
+    keys = ["doc_id", "text_hash", "item", "item_id", "n_windows", "n_free"]
+    met = met.select(*keys, "at", "pos", "free", paired.alias("slots"))
+    aligned = met.groupBy(*keys, (F.col("at") - F.col("pos")).alias("start")).agg(
+        F.array_sort(F.collect_set(F.struct("pos", "free", "slots"))).alias("windows")
     )
+    # Once each, though met in several forms.
+    aligned = aligned.withColumn("windows", F.filter("windows", lambda w, i: (i == 0) | (F.get("windows", i - 1)["pos"] != w["pos"])))
     verbatim = F.filter("windows", lambda w: F.forall(w["slots"], lambda p: p["raw"] == p["found"]))
     changed = F.filter("windows", lambda w: F.exists(w["slots"], lambda p: p["raw"] != p["found"]))
     aligned = aligned.withColumn("_same", verbatim).withColumn("_other", changed)
     aligned = aligned.withColumn("_other", F.when(_one_to_one(F.col("_other.slots")), F.col("_other")).otherwise(_longest_run(F.col("_other"))))
     aligned = aligned.withColumn("_counted", F.concat("_same", "_other"))
     aligned = aligned.withColumn("n_matched", F.size("_counted")).withColumn("slots", F.array_distinct(F.flatten("_counted.slots")))
-    enough = F.least(F.lit(ENOUGH), F.ceil(F.col("n_windows") * 0.75))
-    aligned = aligned.where(F.col("n_matched") >= enough)
+    free = F.size(F.filter("_counted", lambda w: w["free"]))
+
+    def enough(of: str) -> Column:
+        return F.least(F.lit(ENOUGH), F.ceil(F.col(of) * 0.75))
+
+    # Of all windows, or of those that a re-parameterised copy still has.
+    aligned = aligned.where((F.col("n_matched") >= enough("n_windows")) | ((F.col("n_free") > 0) & (free >= enough("n_free"))))
     changed = F.size(F.filter("slots", lambda p: p["raw"] != p["found"]))
     best = aligned.groupBy("doc_id", "text_hash", "item_id").agg(
         F.min_by(
