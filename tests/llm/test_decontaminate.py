@@ -75,6 +75,27 @@ def test_items_of_few_words(spark, docs, bench):
     assert [got[k].n_changed for k in sorted(got)] == [0, 0, 0, 0, 1]
 
 
+def test_case_and_line_breaks_do_not_matter(spark, docs, bench):
+    words = TRAIN.split()
+    wrapped = TRAIN.replace(" Oslo", "\nOslo").replace(" Bergen", "\r\n  Bergen").replace("120 km", "120\u00a0km")
+    rows = [
+        (1, TRAIN.lower()),
+        (2, TRAIN.upper()),
+        (3, " ".join(w[0].upper() + w[1:] for w in words)),
+        (4, wrapped),
+        (5, TRAIN.lower().replace("120", "75").replace("40", "3")),
+        (6, "who\twrote THE\nbook"),
+        (7, "\n".join(words)),
+        (8, TRAIN.lower()[:30]),
+    ]
+    got = found(dc.leaks(docs(*rows), bench((10, TRAIN), (11, SHORT))))
+    assert set(got) == {(d, 10) for d in (1, 2, 3, 4, 5, 7)} | {(6, 11)}
+    assert {d: r.n_changed for (d, _), r in got.items()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 2, 6: 0, 7: 0}
+    assert all(r.n_matched == r.n_windows for r in got.values())
+    upper = found(dc.leaks(docs((1, TRAIN), (2, TRAIN.lower())), bench((10, TRAIN.upper()))))
+    assert set(upper) == {(1, 10), (2, 10)}
+
+
 def test_edges(spark, docs, bench):
     rows = [(1, None), (1, ""), (2, TRAIN), (2, TRAIN), (2, "another text"), (None, TRAIN), (3, TRAIN + " ." * 50_000), (4, (TRAIN + " ; ") * 3)]
     items = bench((10, TRAIN), (10, TRAIN), (None, TRAIN))

@@ -3,7 +3,7 @@
 Texts are brought to templates: numbers, units after numbers, and names (capitalised words inside a
 sentence) become typed placeholders, the rest is lower case without punctuation. Windows of
 ``WINDOW`` template tokens are hashed (those of little but placeholders with their values, so that exact
-copies of them are met); a document whose window hash is among the benchmark's is
+copies of them are met). A second template leaves names as words, so that it does not depend on case; a document whose window hash is among the benchmark's is
 looked at closely: its windows are joined with the benchmark's by hash and counted along one
 alignment, and the values in the placeholders are compared. Windows with the item's own values count
 as they are. A re-parameterised question replaces each value by one other throughout, so of the
@@ -27,8 +27,9 @@ WINDOW = 8
 #: Windows with fewer words that are no placeholders are no evidence as templates; they count where their
 #: values are the same.
 WORDS = 4
-#: Forms of a text by which windows are met: templates, and words and values as they are (case aside).
-FORMS = ("canon", "raw")
+#: Forms of a text by which windows are met: templates; templates whose names are words, whatever their
+#: case; and words and values as they are (case aside).
+FORMS = ("canon", "blind", "raw")
 #: So many windows of one alignment (13 tokens), or three quarters of an item's where that is less.
 ENOUGH = 6
 BROADCAST = 500_000
@@ -42,10 +43,16 @@ UNITS = (
 )
 
 
+#: White space, as a class of characters; any run of it is one space.
+SPACES = r"\s\u0085\u00a0\u2000-\u200a\u2028\u2029\u202f\u3000"
+
+
 def marked(text: Column) -> Column:
     """The text with a mark before each name, number and unit, and without punctuation."""
-    out = F.regexp_replace(text, r" (?<![\s.!?:;] )(?=\p{Lu}\p{Ll}++(?!\p{L}))", f" {NAME}")
+    out = F.regexp_replace(text, rf"[{SPACES}&&[^ ]][{SPACES}]*+| [{SPACES}]++", " ")
+    # Units first: they are units in any case.
     out = F.regexp_replace(out, rf" (?<=[0-9] )(?=(?i:{UNITS})(?![\p{{L}}\p{{N}}]))", f" {UNIT}")
+    out = F.regexp_replace(out, r" (?<![\s.!?:;] )(?=\p{Lu}\p{Ll}++(?!\p{L}))", f" {NAME}")
     out = F.regexp_replace(out, r"[0-9](?:[.,:/]?[0-9])*+", f"{NUMBER}$0")
     return F.regexp_replace(out, rf"[^\p{{L}}\p{{M}}\p{{N}}\s{NAME}{NUMBER}{UNIT}]+", "")
 
@@ -55,6 +62,11 @@ def template(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, rf"([{NAME}{NUMBER}{UNIT}])[^\s{NAME}{NUMBER}{UNIT}]*+", "$1"))
 
 
+def nameless(text: Column) -> Column:
+    """A marked text's numbers and units without their values, all other words, names too, in lower case."""
+    return template(F.translate(text, NAME, ""))
+
+
 def values(text: Column) -> Column:
     """A marked text's words and values in lower case. Numbers keep their marks, so that 3 + 4 is not 34."""
     return F.lower(F.translate(text, NAME + UNIT, ""))
@@ -66,7 +78,7 @@ def tokens(text: Column) -> Column:
 
 def in_forms(texts: DataFrame, *keys: str) -> DataFrame:
     """The ``keys`` and the tokens of column ``_marked`` in each form; all forms have the same tokens."""
-    of = {"canon": template, "raw": values}
+    of = {"canon": template, "blind": nameless, "raw": values}
     return texts.select(*keys, *[tokens(of[form](F.col("_marked"))).alias(form) for form in FORMS])
 
 
@@ -116,7 +128,7 @@ def benchmark_windows(benchmark: DataFrame, width: int, item_id: str = "item_id"
         return F.size(F.filter(form, lambda t: ~_is_mark(t))) >= F.least(F.lit(WORDS), F.col("size"))
 
     rows = rows.withColumn("free", worded("canon"))
-    met_by = {"canon": F.col("free"), "raw": F.col("_as_is") & ~F.col("free")}
+    met_by = {"canon": F.col("free"), "blind": F.col("_as_is") & worded("blind"), "raw": F.col("_as_is") & ~F.col("free")}
     forms = F.array(*[F.when(met_by[form], F.struct(F.lit(form).alias("form"), _hash(form, F.col(form)).alias("hash"))) for form in FORMS])
     rows = rows.select("item_id", "item", "size", "pos", "raw", "canon", "free", F.explode(F.filter(forms, lambda f: f.isNotNull())).alias("_f"))
     counts = rows.groupBy("item").agg(F.count_distinct("pos").alias("n_windows"), F.count_distinct(F.when(F.col("free"), F.col("pos"))).alias("n_free"))
