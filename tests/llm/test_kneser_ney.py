@@ -102,6 +102,20 @@ def test_quality(spark, docs):
     assert kn.quality(docs(), trusted).count() == 0
 
 
+def test_every_language_has_its_own_threshold(spark, docs):
+    rng = random.Random(6)
+    hard = ["".join(rng.choice("fghijklmnopqrstuvwxyz ") for _ in range(60)) for _ in range(60)]
+    rows = [(i, t, "xx") for i, t in enumerate(texts(5, 150))] + [(200 + i, t, "yy") for i, t in enumerate(hard)]
+    rows += [(300 + i, t, None) for i, t in enumerate(texts(7, 30))]
+    rows += [(900, "same text", "xx"), (901, "same text", "yy"), (902, "same text", None), (903, "same text", "zz")]
+    trusted = spark.createDataFrame([(i,) for i in range(330)], "doc_id long")
+    got = {r.doc_id: r for r in kn.quality(docs(*rows), trusted).collect()}
+    assert len(got) == len(rows)
+    xx, yy, none, zz = (got[i].threshold for i in range(900, 904))
+    assert len({xx, yy, none, zz}) == 4 and xx < zz and xx < yy
+    assert sum(got[i].kept for i in range(200, 260)) >= 57
+
+
 def test_query_keeps_good_documents(spark):
     got = QUERIES["op8_quality"](spark, SF)
     labels = spark.read.parquet(f"{SF}/labels.parquet")

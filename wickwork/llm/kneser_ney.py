@@ -7,8 +7,8 @@ to be scored are gathered in the same way, distinct ones only, and get their pro
 with the tables of every order. Only then texts are scored, by looking n-grams up.
 
 A fifth of the trusted documents is kept out of the counts. Their perplexities set a threshold for each
-language: a quantile, times a margin, with an allowance for very short texts. Documents above
-it are rejected.
+language: a quantile, drawn towards that of all languages the more the fewer documents it is from,
+times a margin, with an allowance for very short texts. Documents above it are rejected.
 
 Characters are 12-bit codes: code points below 3071 have their own, others share 1024. An n-gram is
 one 64-bit number, its last character lowest.
@@ -35,8 +35,8 @@ MARGIN = 1.25
 #: The first characters of a text are hard to predict: a text of n characters may have a total of
 #: so much more negative log probability.
 OPENING = 4.0
-#: Languages with fewer calibration documents use the quantile of all.
-CALIBRATION = 50
+#: The quantile of all languages weighs as much as so many calibration documents of a language.
+PRIOR = 10
 #: Characters worked on together in a task, and n-grams it holds before handing them in.
 GROUP_CHARS = 500_000
 HELD_GRAMS = 3_000_000
@@ -243,8 +243,9 @@ def quality(
     ``trusted`` names trusted documents by ``doc_id`` (nulls and repetitions do not matter). A fifth
     of them, by a hash of the id, calibrates the thresholds; the others are counted, repeated
     rows as often as they are there. A null or empty text has no perplexity and is kept. Without
-    trusted documents all are kept. Languages with few calibration documents, null among them,
-    take the threshold of all languages together. ``docs`` is read several times and should be a
+    trusted documents all are kept. Every language with calibration documents, null among them, has a
+    threshold of its own at every size, a mean (of logarithms) of its quantile and that of all
+    languages by number of documents; only languages without any take that of all. ``docs`` is read several times and should be a
     table. New columns whose names are taken get underscores appended.
     """
     with_python(docs.sparkSession)
@@ -262,11 +263,13 @@ def quality(
     out = score(docs)
     calibrated = written(score(of(ids.where(aside))).select(F.col(lang).alias("_lang"), F.col(name).alias("_p")).where("_p is not null"), "lm-calibration")
     cut = F.percentile_approx("_p", F.lit(quantile), F.lit(10_000)) * margin
-    by_lang = calibrated.groupBy("_lang").agg(cut.alias("_own"), F.count(F.lit(1)).alias("_n"))
-    by_lang = by_lang.where(F.col("_n") >= CALIBRATION).select("_lang", "_own")
     overall = calibrated.agg(cut.alias("_all")).first()["_all"]
+    weight = F.col("_n") / (F.col("_n") + PRIOR)
+    by_lang = calibrated.groupBy("_lang").agg(cut.alias("_cut"), F.count(F.lit(1)).alias("_n"))
+    own = F.exp(weight * F.log("_cut") + (1 - weight) * F.log(F.lit(overall).cast("double")))
+    by_lang = by_lang.select("_lang", own.alias("_own"))
     limit, kept = free_name(docs, "threshold"), free_name(docs, "kept")
-    joined = out.join(by_lang, out[lang] == by_lang._lang, "left")
+    joined = out.join(by_lang, out[lang].eqNullSafe(by_lang._lang), "left")
     opening = F.exp(OPENING / F.greatest(F.length(text), F.lit(1)))
     joined = joined.withColumn(limit, F.coalesce("_own", F.lit(overall).cast("double")) * opening).drop("_own", "_lang")
     return joined.withColumn(kept, F.coalesce(F.col(name) <= F.col(limit), F.lit(True)))
