@@ -1,7 +1,7 @@
 """Secrets in texts: candidates by shape, false positives removed by a random forest.
 
 Candidates are unbroken strings of key characters with a digit or mixed case, long enough to be a
-secret. A candidate is described by its length, its character transitions, how much of it is made
+secret, and whatever is assigned to a secret's name, at any length. A candidate is described by its length, its character transitions, how much of it is made
 of pieces of the corpus' own words (the dictionary), whether it lies in a path or address, and the words
 beside it. A random forest (Spark's own) learns from labelled findings which are secrets, and scores all.
 
@@ -41,7 +41,14 @@ SECRET_NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apik
 #: Fixed formats of issued keys.
 FORMATS = (r"AKIA[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{36}", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"sk_live_[A-Za-z0-9]{16,}", r"AIza[A-Za-z0-9_-]{35}")
 _FORMAT = re.compile("|".join(f"(?:{f})" for f in FORMATS))
-_NAMED = re.compile(rf"(?:{'|'.join(SECRET_NAMES)})[\"']?\s*[:=]\s*[\"']?$", re.IGNORECASE)
+_ASSIGN = r"(?::=|=>|==?|:)"
+_NAMED = re.compile(rf"(?:{'|'.join(SECRET_NAMES)})[\"']?\s*{_ASSIGN}\s*[\"']?$", re.IGNORECASE)
+#: A secret's name and the value assigned to it on the same line: between quotes, else up to a space or separator.
+_ASSIGNED = re.compile(
+    rf"(?:{'|'.join(SECRET_NAMES)})[\"']?[ \t]*{_ASSIGN}[ \t]*(?:\"([^\"\r\n]+)\"|'([^'\r\n]+)'|[\"']?([^\s\"'`,;&<>]+))", re.IGNORECASE
+)
+#: What is left of a name before an assigned value.
+_NAME_PART = re.compile(r"[A-Za-z0-9_.-]*\Z")
 _NAME_NEAR = re.compile("|".join(SECRET_NAMES), re.IGNORECASE)
 _RUN = re.compile("[a-z]{2,}")
 
@@ -66,21 +73,53 @@ def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
 
 
+def _assigned(text: str) -> list[tuple[int, int, int]]:
+    """(where the name starts, start, end) of values assigned to a secret's name; padding is part of a value."""
+    out = []
+    for m in _ASSIGNED.finditer(text):
+        group = m.lastindex
+        start, end = m.span(group)
+        while group == 3 and end > start and text[end - 1] in ".:)]}":
+            end -= 1
+        if text[start:end].strip():
+            out.append((m.start(), start, end))
+    return out
+
+
+def _shaped(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The part of a run of key characters that could be a secret."""
+    # ``name=value`` is one run of key characters; the value is what counts, padding at its end aside.
+    while end > start and text[end - 1] in ".-_/=":
+        end -= 1
+    cut = text.rfind("=", start, max(start, end - 8))
+    if cut > start:
+        start = cut + 1
+    value = text[start:end]
+    if end - start >= 12 and (any(c.isdigit() for c in value) or not (value.islower() or value.isupper() or value.istitle())):
+        return [(start, end)]
+    return []
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """(start, end) of strings that could be secrets."""
-    out = []
+    named = _assigned(text)
+    out = {(start, end) for _, start, end in named}
+    at = 0
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        # ``name=value`` is one run of key characters; the value is what counts.
-        cut = text.rfind("=", start, end - 8)
-        if cut > start and text[end - 1] != "=":
-            start = cut + 1
-        while end > start and text[end - 1] in ".-_/=":
-            end -= 1
-        value = text[start:end]
-        if end - start >= 12 and (any(c.isdigit() for c in value) or not (value.islower() or value.isupper() or value.istitle())):
-            out.append((start, end))
-    return out
+        while at < len(named) and named[at][2] <= start:
+            at += 1
+        k = at
+        while k < len(named) and named[k][0] < end:
+            name, first, last = named[k]
+            if first <= start and end <= last and (start, end) != (first, last):
+                break  # inside a longer value: a candidate beside it
+            if name > start:
+                out.update(_shaped(text, start, start + _NAME_PART.search(text[start:name]).start()))
+            start = max(start, min(last, end))
+            k += 1
+        out.update(_shaped(text, start, end))
+    return sorted(out)
 
 
 def describe(text: str, start: int, end: int, words: frozenset[str]) -> list[float]:
@@ -126,24 +165,36 @@ def dictionary(docs: DataFrame, text: str = "text", size: int = WORDS) -> DataFr
     return docs.select(words).groupBy("word").count().orderBy(F.desc("count"), "word").limit(size).select("word")
 
 
-def find(docs: DataFrame, words: frozenset[str], text: str = "text") -> DataFrame:
-    """One row per candidate: the columns of ``docs`` but the text, and start, end, value, label, features."""
+def find(docs: DataFrame, words: frozenset[str], text: str = "text", spans: str | None = None) -> DataFrame:
+    """One row per candidate: the columns of ``docs`` but the text, and start, end, value, label, features.
+
+    With ``spans``, a column of (start, end) lists, one row per span of the text that is no candidate instead.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
+    def described(value: str, places: list[tuple[int, int]]) -> list[dict]:
+        return [
+            {"start": s, "end": e, "value": value[s:e], "label": self_label(value, s, e), "features": describe(value, s, e, shared.value)}
+            for s, e in places
+        ]
+
     @F.arrow_udf(_FINDING)
     def findings(column: pa.Array) -> pa.Array:
+        texts = (v.as_py() or "" for v in column)
+        return pa.array([described(value, candidates(value)) for value in texts], _ARROW)
+
+    @F.arrow_udf(_FINDING)
+    def others(column: pa.Array, places: pa.Array) -> pa.Array:
         out = []
-        for v in column:
+        for v, listed in zip(column, places, strict=True):
             value = v.as_py() or ""
-            out.append(
-                [
-                    {"start": s, "end": e, "value": value[s:e], "label": self_label(value, s, e), "features": describe(value, s, e, shared.value)}
-                    for s, e in candidates(value)
-                ]
-            )
+            known = set(candidates(value))
+            wanted = sorted({(p["start"], p["end"]) for p in listed.as_py() or []} - known)
+            out.append(described(value, [(s, e) for s, e in wanted if 0 <= s < e <= len(value)]))
         return pa.array(out, _ARROW)
 
-    return docs.select(*[c for c in docs.columns if c != text], F.explode(findings(F.col(text))).alias("_f"))
+    found = findings(F.col(text)) if spans is None else others(F.col(text), F.col(spans))
+    return docs.select(*[c for c in docs.columns if c not in (text, spans)], F.explode(found).alias("_f"))
 
 
 def secrets(
@@ -153,11 +204,11 @@ def secrets(
     text: str = "text",
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """One row per candidate: doc_id, start, end, value, label, probability and is_secret.
+    """One row per candidate or judged finding: doc_id, start, end, value, label, probability and is_secret.
 
     ``labelled`` (doc_id, start, end, label) are findings that people judged; without it candidates
     label themselves. Spans are code points, end exclusive. Null and empty texts have no candidates;
-    repeated rows repeat theirs; findings with a null label, id or place are not learnt from. If labels of
+    repeated rows repeat theirs; findings with a null label, id or place, or one outside the text, are not learnt from. If labels of
     only one kind, or none, are there, nothing can be learnt, and the label, else null, is the
     answer. Extra columns of ``docs`` play no part.
     """
@@ -165,7 +216,13 @@ def secrets(
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     # Written first, so that the parts' most frequent words meet in a task and only WORDS reach the driver.
     words = frozenset(r["word"] for r in written(dictionary(slim), "secret-words").collect())
-    rows = written(find(slim, words).select("doc_id", "_f.*"), "secret-findings")
+    rows = find(slim, words).select("doc_id", "_f.*")
+    if labelled is not None:
+        place = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+        spans = labelled.where("doc_id is not null and label is not null and start is not null and end is not null")
+        spans = spans.groupBy("doc_id").agg(F.collect_set(place).alias("_spans"))
+        rows = rows.unionByName(find(slim.join(spans, "doc_id"), words, spans="_spans").select("doc_id", "_f.*"))
+    rows = written(rows, "secret-findings")
     if labelled is not None:
         judged = labelled.select("doc_id", "start", "end", F.col("label").alias("_judged")).where("label is not null")
         judged = judged.groupBy("doc_id", "start", "end").agg(F.max("_judged").cast("int").alias("label"))
