@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickwork.llm import byte_bpe, chat_windows, decontaminate, ftrl, kd_shards, kneser_ney, near_dedup, personal_data, secret_scan, topk
+from wickwork.llm import byte_bpe, chat_windows, decontaminate, ftrl, kd_shards, kneser_ney, near_dedup, personal_data, secret_scan, token_counts, topk
 from wickwork.llm.tables import table
 from wickwork.session import use_utc
 
@@ -230,3 +230,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "label", "probability", "is_secret")
+
+
+@query()
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
