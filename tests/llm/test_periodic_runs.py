@@ -1,0 +1,155 @@
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from wickwork.llm import periodic_runs as pr
+from wickwork.llm.queries import ORACLES, QUERIES
+from tests.compare import connect, differences
+
+SF = "/root/testdata/sf0.001"
+
+
+def brute(words):
+    """Every lag, every stretch; a run's period is its smallest."""
+    n, found = len(words), {}
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(6, 4 * q):
+                found.setdefault((i, j - i + q), q)
+            i = j + 1
+    return sorted(((s, length, q) for (s, length), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def left(words, runs):
+    return [w for i, w in enumerate(words) if not any(s + q <= i < s + n for s, n, q in runs)]
+
+
+def of(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    runs = brute(words)
+    best = min(runs, key=lambda r: (-r[1] / r[2], r[0], r[2]), default=None)
+    return runs, best, " ".join(left(words, runs))
+
+
+def check(found, texts):
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        runs, best, kept = of(text)
+        assert [tuple(r) for r in got[i]["runs"]] == runs, text
+        assert (got[i]["strongest"] and tuple(got[i]["strongest"])) == best
+        assert got[i]["collapsed"] == kept
+
+
+CASES = [
+    None,
+    "",
+    " \t\n",
+    "a",
+    "a a a a a",
+    "a a a a a a",
+    "b a a a a a a c",
+    "a b a b a b a b",
+    "a b a b a b a",
+    "x a b a b a b a b a y",
+    "a a a a a a b a a a a a a b a a a a a a b a a a a a a b",
+    "a b c " * 40 + "d " + "a b c " * 3 + "c c c c c c c",
+    "           ",
+    "A a A a A a A a a A a A a A a A",
+    "q " * 3000,
+    ("r s t u v " * 7 + "w ") * 9,
+]
+
+
+def test_cases(spark, docs):
+    check(pr.periodic_runs(docs(*enumerate(CASES)).repartition(3)), CASES)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_texts(seed):
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(150):
+        words = []
+        while len(words) < rng.choice((10, 40, 160)):
+            block = [rng.choice("abcd"[: rng.randint(1, 4)]) for _ in range(rng.randint(1, 9))]
+            words += block * rng.randint(1, 7)
+        texts.append(" ".join(words))
+    for text, got in zip(texts, pr.texts_of([(text, None, None) for text in texts]), strict=True):
+        runs, best, kept = of(text)
+        assert got.runs == runs, text
+        assert got.strongest() == best and got.collapsed().decode() == kept
+
+
+def test_rare_words_split_until_nothing_changes():
+    ids = np.array([ord(c) for c in "ababcababxabababab"], np.int64)
+    # c and x split; no part but the last has a word four times in at least six.
+    assert pr.segments(ids, np.zeros(len(ids), np.int64)) == [(10, 18)]
+    # Splitting at z leaves y too rare on either side, and so on.
+    ids = np.array([ord(c) for c in "aayaayzyaayaaaaaaa"], np.int64)
+    assert pr.segments(ids, np.zeros(len(ids), np.int64)) == [(11, 18)]
+    # Texts are apart: neither has the word often enough.
+    assert pr.segments(np.zeros(6, np.int64), np.array([0, 0, 0, 1, 1, 1])) == []
+
+
+@pytest.mark.parametrize("words", [["w"] * 200_000, [f"w{i % 50_000}" for i in range(200_000)], [f"w{i * i % 997 % 13}" for i in range(60_000)]])
+def test_long_texts(words):
+    """One run, or many lags without one, in seconds."""
+    (got,) = pr.texts_of([(" ".join(words), None, None)])
+    for start, length, q in got.runs:
+        part = words[start : start + length]
+        assert part[q:] == part[:-q]
+    assert got.strongest() == max(got.runs, key=lambda r: r[1])
+    assert len(got.runs) == (1 if len(words) > 100_000 else 61)
+
+
+def test_repeated_first(spark, docs):
+    rows = docs((1, "a b c d e f g h i j"), (2, "a b"), (None, None))
+    start, period = F.when(F.col("doc_id") == 1, 2), F.when(F.col("doc_id") == 1, 2)
+    got = {r["doc_id"]: r for r in pr.periodic_runs(rows, start=start, period=period).collect()}
+    assert [tuple(r) for r in got[1]["runs"]] == [(2, 8, 2)] and got[1]["collapsed"] == "a b c d"
+    assert got[2]["runs"] == [] and got[2]["strongest"] is None and got[2]["collapsed"] == "a b"
+    assert got[None]["runs"] == [] and got[None]["collapsed"] == ""
+
+
+def test_edges(spark, docs):
+    assert pr.periodic_runs(docs((1, "x")).where("doc_id = 2")).collect() == []
+    rows = docs((1, "a " * 9), (1, "a " * 9)).withColumnRenamed("lang", "Runs").withColumnRenamed("source", "found").withColumnRenamed("n_chars", "strongest")
+    got = pr.periodic_runs(rows, period=F.lit(None))
+    assert set(got.columns) == {"doc_id", "text", "Runs_in", "found", "strongest_in", "runs", "strongest", "collapsed"}
+    assert [r["collapsed"] for r in got.collect()] == ["a", "a"]
+    odd = docs((1, "a " * 9)).withColumnRenamed("text", "collapsed")
+    assert pr.periodic_runs(odd, text="collapsed").first()["collapsed"] == "a"
+
+
+def test_digests(spark):
+    """The query by its definition, text by text."""
+    got = {r["doc_id"]: r for r in QUERIES["op12_periodic_runs"](spark, SF).collect()}
+    for row in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", row["text"] or "")
+        n, h = len(words), zlib.crc32(str(row["doc_id"]).encode())
+        if h % 10 == 0 and n:
+            a = h // 10 % n
+            p = 1 + (n - a) // (3 + h // 10 % 8)
+            words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+        if n > 600:  # the plain search is quadratic
+            continue
+        runs = brute(words)
+        mine = got[row["doc_id"]]
+        assert mine["n_runs"] == len(runs)
+        assert mine["runs_sha256"] == hashlib.sha256("".join(f"{a},{b},{c}\n" for a, b, c in runs).encode()).hexdigest()
+        assert mine["collapsed_sha256"] == hashlib.sha256(" ".join(left(words, runs)).encode()).hexdigest()
+
+
+def test_sql(spark):
+    with connect(SF) as con:
+        assert differences(spark, con, QUERIES["op12_periodic_runs"], ORACLES["op12_periodic_runs"], SF) is None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickwork.llm import byte_bpe, chat_windows, decontaminate, ftrl, kd_shards, kneser_ney, near_dedup, personal_data, secret_scan, token_counts, topk
+from wickwork.llm import byte_bpe, chat_windows, decontaminate, ftrl, kd_shards, kneser_ney, near_dedup, periodic_runs, personal_data, secret_scan, token_counts, topk
 from wickwork.llm.tables import table
 from wickwork.session import use_utc
 
@@ -16,6 +16,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+#: The CRC-32 of a list of bytes in SQL; ``crc_table`` is to be among the query's tables.
+CRC_TABLE = """crc_table AS (
+        SELECT list_transform(range(256), lambda i: list_reduce(
+            range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS crc
+    )"""
+CRC = "xor(list_reduce({}, lambda c, b: xor(c // 256, crc[xor(c % 256, b) + 1]), 4294967295), 4294967295)"
+
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its function's name, with its SQL if there is any."""
@@ -236,3 +243,68 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query(
+    rf"""
+    WITH {CRC_TABLE},
+    split AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+               {CRC.format("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")} AS h
+        FROM documents, crc_table
+    ),
+    sized AS (SELECT doc_id, w, h, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN h // 10 % len(w) END AS a FROM split),
+    spread AS (SELECT *, 1 + (n - a) // (3 + h // 10 % 8) AS p FROM sized),
+    texts AS (
+        SELECT doc_id, n, CASE WHEN a IS NULL THEN w
+                               ELSE list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) END AS w
+        FROM spread
+    ),
+    lags AS (
+        SELECT doc_id, n, w, unnest(list_filter(range(1, n // 4 + 1), lambda q: len(list_filter(range((n - 1) // q - 2), lambda j:
+            w[j * q + 1] = w[(j + 1) * q + 1] AND w[j * q + 1] = w[(j + 2) * q + 1] AND w[j * q + 1] = w[(j + 3) * q + 1])) > 0)) AS q
+        FROM texts
+    ),
+    equal AS (
+        SELECT doc_id, q, unnest(list_filter(range(n - q), lambda i: w[i + 1] = w[i + q + 1])) AS i FROM lags
+    ),
+    stretches AS (
+        SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+        FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal)
+        GROUP BY doc_id, q, island HAVING count(*) >= greatest(3 * q, 6 - q)
+    ),
+    runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY 1, 2, 3),
+    found AS (
+        SELECT doc_id, count(*) AS n_runs,
+               string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs_text,
+               list({{'start': start, 'length': length, 'period': period}}) AS r
+        FROM runs GROUP BY 1
+    ),
+    best AS (
+        -- Ratios of numbers this small are equal as floating point numbers only where they are equal.
+        SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1
+    )
+    SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
+           sha256(coalesce(runs_text, '')) AS runs_sha256,
+           sha256(coalesce(array_to_string(CASE WHEN r IS NULL THEN w ELSE list_transform(
+               list_filter(range(n), lambda i: len(list_filter(r, lambda x: i >= x.start + x.period AND i < x.start + x.length)) = 0),
+               lambda i: w[i + 1]) END, ' '), '')) AS collapsed_sha256
+    FROM texts t LEFT JOIN found f USING (doc_id) LEFT JOIN best b USING (doc_id)
+    """
+)
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    n = F.when(h % 10 == 0, periodic_runs.word_count(F.col("text")))
+    start = F.when(n > 0, g % n)
+    found = periodic_runs.periodic_runs(docs, start=start, period=1 + F.floor((n - start) / (3 + g % 8)))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[best[name].alias(name) for name in periodic_runs.PARTS],
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.listed(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
