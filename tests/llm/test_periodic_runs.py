@@ -67,6 +67,8 @@ CASES = [
     "A a A a A a A a a A a A a A a A",
     "q " * 3000,
     ("r s t u v " * 7 + "w ") * 9,
+    "a " * 580 + ("b " * 110 + "c " * 24) * 2 + "b " * 290,
+    "b " * 290 + "c " * 24 + "b " * 110 + "c " * 24,
 ]
 
 

@@ -98,7 +98,8 @@ def runs_in(a: np.ndarray) -> list[Run]:
                 continue
             begin = _equal_until(a, p, q, -1) + 1
             end = _equal_until(a, p, q, 1)
-            if end - begin + q >= max(WORDS, PERIODS * q):
+            # A stretch that ends before the four do is another run's, or none.
+            if end > p + 2 * q and end - begin + q >= max(WORDS, PERIODS * q):
                 found.append((begin, end - begin + q, q))
                 until = end + q
         if len(found) > known:
