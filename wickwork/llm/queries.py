@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickwork.llm import byte_bpe, chat_windows, decontaminate, ftrl, kd_shards, kneser_ney, near_dedup, periodic_runs, personal_data, secret_scan, token_counts, topk
+from wickwork.llm import byte_bpe, chat_windows, decontaminate, ftrl, kd_shards, kneser_ney, near_dedup, periodic_runs, personal_data, secret_scan, spelling_variants, token_counts, topk
 from wickwork.llm.tables import table
 from wickwork.session import use_utc
 
@@ -245,6 +245,63 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query(
+    rf"""
+    WITH RECURSIVE {CRC_TABLE},
+    runs AS (
+        SELECT doc_id, run, count(*) AS times FROM (
+            SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[a-z\x{{C0}}-\x{{FF}}]+')) AS run
+            FROM documents)
+        WHERE length(run) >= 5 GROUP BY 1, 2
+    ),
+    spelt AS (SELECT run, times, hex(doc_id || ':' || run) AS x FROM runs),
+    bytes AS (
+        SELECT run, times, list_transform(range(1, len(x) // 2 + 1), lambda i:
+            16 * (instr('0123456789ABCDEF', x[2 * i - 1]) - 1) + instr('0123456789ABCDEF', x[2 * i]) - 1) AS b
+        FROM spelt
+    ),
+    hashed AS (SELECT run, times, {CRC.format("b")} AS h FROM bytes, crc_table),
+    words AS MATERIALIZED (
+        SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+            SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed)
+        WHERE length(word) >= 5 GROUP BY 1 HAVING sum(times) >= 3
+    ),
+    cut AS MATERIALIZED (
+        SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+    ),
+    near AS (
+        SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+        UNION
+        SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.rest = w.word
+        UNION
+        SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.rest = w.word
+    ),
+    best AS (
+        SELECT word, count(*) OVER (PARTITION BY word) AS n_near, other, n AS other_n FROM near
+        QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, other) = 1
+    ),
+    forms AS MATERIALIZED (
+        SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form,
+               CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+        FROM words w LEFT JOIN best b ON w.word = b.word
+    ),
+    way AS (
+        SELECT word, word AS root, form AS following FROM forms
+        UNION ALL
+        SELECT y.word, y.following, f.form FROM way y JOIN forms f ON y.following = f.word
+    )
+    SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN way y ON f.word = y.word WHERE y.following IS NULL
+    """
+)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    runs = docs.select("doc_id", F.explode(spelling_variants.letter_runs(F.col("text"))).alias("run"))
+    h = F.coalesce(F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "run").cast("binary")), F.lit(1))
+    cut = spelling_variants.without(F.col("run"), h % F.length("run"))
+    return spelling_variants.spelling_variants(runs.select(F.when(h % 97 == 0, cut).otherwise(F.col("run")).alias("word")))
+
+
 @query(
     rf"""
     WITH {CRC_TABLE},
