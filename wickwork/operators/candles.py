@@ -104,14 +104,22 @@ def monotonic_filter(
     keys: Sequence[str] = ("symbol",),
     mark: Column | None = None,
     block: str | int | None = None,
+    first_pass: bool = False,
 ) -> DataFrame:
     """Rows whose time exceeds that of every row which arrived before them.
 
     The largest time kept so far equals the largest time so far, so a running maximum decides; it
     runs block by block of ``arrival`` (unique within a series), each with the maximum of the
-    blocks before it. With a ``mark`` from an earlier pass rows must exceed that as well.
+    blocks before it. With a ``mark`` from an earlier pass rows must exceed that as well; with
+    ``first_pass`` rows without a mark all pass, as nothing was there to compare them to.
     """
     keys, columns = list(keys), df.columns
+    if first_pass:
+        if mark is None:
+            return df
+        marked = df.withColumn("_marked", mark)
+        free = marked.where(F.col("_marked").isNull()).select(*columns)
+        return free.unionByName(monotonic_filter(marked.where(F.col("_marked").isNotNull()).select(*columns), ts, arrival, keys, mark, block))
     if mark is not None:
         df = df.where(mark.isNull() | (F.col(ts) > mark))
     rows = df.withColumn("_order", order_value(df, arrival)).where(F.col("_order").isNotNull())

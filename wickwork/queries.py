@@ -22,6 +22,7 @@ from wickwork.session import scratch_path, use_utc
 from wickwork.sources import events as ev
 from wickwork.sources import ranges, tables
 from wickwork.sources.chunks import range_chunks
+from wickwork.streaming import monotonic
 from wickwork.streaming import queries as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -731,3 +732,29 @@ def stream_upsert_last(spark, sf_dir):
         parsed = streams.parse_stream(ev.stream_events(spark, topic, "parquet"), KEYS, ranges.RANGE_SCHEMA, distinct=False)
         streams.upsert_stream(parsed, table, table, KEYS, checkpoint, trigger=None, arrival="Volume").awaitTermination()
     return plain(tables.read_table(spark, table).select(*WIRE))
+
+
+ARRIVED = "event_id * 2 + CASE WHEN user_id % 5 = 0 THEN 101 ELSE 0 END"
+
+
+@query(
+    f"""
+    SELECT symbol, ts, value, arrival FROM (
+        SELECT event_type AS symbol, ts, value, {ARRIVED} AS arrival, max(ts) OVER (
+            PARTITION BY event_type ORDER BY {ARRIVED} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m
+        FROM events)
+    WHERE m IS NULL OR ts > m"""
+)
+def stream_monotonic(spark, sf_dir):
+    """Ticks in two runs of one stream, every fifth user's some fifty ticks late."""
+    rows = ticks(spark, sf_dir).select("symbol", "ts", "value", F.expr(ARRIVED).alias("arrival"))
+    half = rows.agg((F.max("arrival") / 2).alias("half")).scalar()
+    topic = scratch_path(spark, "arrivals")
+    table, checkpoint = scratch_path(spark, "increasing"), scratch_path(spark, "increasing-checkpoint")
+    for part in (rows.where(F.col("arrival") <= half), rows.where(F.col("arrival") > half)):
+        part.write.mode("append").parquet(topic)
+        arriving = spark.readStream.schema(rows.schema).parquet(topic)
+        kept = monotonic.monotonic_stream(arriving, "ts", "arrival", ["symbol"])
+        writer = kept.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(table)
