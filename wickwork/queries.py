@@ -22,7 +22,7 @@ from wickwork.session import scratch_path, use_utc
 from wickwork.sources import events as ev
 from wickwork.sources import ranges, tables
 from wickwork.sources.chunks import range_chunks
-from wickwork.streaming import monotonic
+from wickwork.streaming import live_candles, monotonic
 from wickwork.streaming import queries as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -758,3 +758,17 @@ def stream_monotonic(spark, sf_dir):
         writer = kept.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint)
         writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(table)
+
+
+@query(f"SELECT symbol, ts, {', '.join(PRICES)} FROM ({CM})")
+def stream_candles(spark, sf_dir):
+    """Minute candles of ticks that arrive in an order of their own, a third at a time."""
+    rows = ticks(spark, sf_dir).select("symbol", "ts", "value", "event_id")
+    topic, checkpoint = scratch_path(spark, "ticks"), scratch_path(spark, "candles-checkpoint")
+    table = f"wick_live_{uuid.uuid4().hex[:12]}"
+    live_candles.candle_table(spark, table, live_candles.partial_candles(rows, order=["event_id"]).schema, location=scratch_path(spark, "live"))
+    for part in range(3):
+        rows.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).write.mode("append").parquet(topic)
+        arriving = spark.readStream.schema(rows.schema).parquet(topic)
+        live_candles.candle_stream(arriving, table, table, order=["event_id"], checkpoint=checkpoint, trigger=None).awaitTermination()
+    return live_candles.read_candles(spark, table)
