@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickwork.functions.frequency import SECOND, floor_div, to_micros
-from wickwork.operators.frames import block_width, order_value
+from wickwork.operators.frames import block_width, order_limits, order_value
 from wickwork.plans.blocks import drop_edges, forward, with_edges
 from wickwork.plans.joins import null_safe_join
 from wickwork.schema import BUFFER_SECONDS, DEFAULT_MARK, GRANULARITY_SECONDS, TIMESTAMP_FORMAT
@@ -123,7 +123,7 @@ def monotonic_filter(
     if mark is not None:
         df = df.where(mark.isNull() | (F.col(ts) > mark))
     rows = df.withColumn("_order", order_value(df, arrival)).where(F.col("_order").isNotNull())
-    edged = with_edges(rows, keys, "_order", block_width(df, arrival, block), maxima=[ts])
+    edged = with_edges(rows, keys, "_order", block_width(df, arrival, block), maxima=[ts], limits=order_limits(df, arrival))
     earlier = forward(keys, "_order").rowsBetween(Window.unboundedPreceding, -1)
     kept = drop_edges(edged.withColumn("_max", F.max(ts).over(earlier)))
     return kept.where(F.col("_max").isNull() | (F.col(ts) > F.col("_max"))).select(*columns)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wickwork.functions.frequency import Frequency, floor_div, from_micros, to_micros
-from wickwork.plans.blocks import BLOCK_ROWS, backward, drop_edges, forward, with_edges
+from wickwork.plans.blocks import BLOCK_ROWS, TIMES, backward, drop_edges, forward, with_edges
 from wickwork.plans.joins import null_safe_join
 
 # Grid points made from one array; keeps the arrays of long gaps small.
@@ -141,7 +141,7 @@ def _with_previous(
 ) -> DataFrame:
     """Rows with their edges, the time of the row before (``_prev``), the start of the series
     (``_anchor``), and for ``new=column`` the column's last non-null value before the row."""
-    edged = with_edges(rows, keys, "_t", freq.nominal_micros * block_rows, carried, anchor="_anchor", ahead=ahead)
+    edged = with_edges(rows, keys, "_t", freq.nominal_micros * block_rows, carried, anchor="_anchor", ahead=ahead, limits=TIMES)
     # One frame for all of them, hence one pass.
     earlier = forward(keys, "_t").rowsBetween(Window.unboundedPreceding, -1)
     found = {name: F.last(column, ignorenulls=True).over(earlier) for name, column in before.items()}

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wickwork.functions.frequency import DAY, Frequency, floor_div, to_micros
-from wickwork.plans.blocks import BLOCK, BLOCK_ROWS, EDGE, row_numbers, with_halo
+from wickwork.plans.blocks import ANY, BLOCK, BLOCK_ROWS, EDGE, TIMES, row_numbers, with_halo
 
 Keys = Sequence[str]
 
@@ -50,10 +50,15 @@ def block_width(df: DataFrame, order: str, block: str | int | None) -> int:
     return Frequency.of(block or "D").nominal_micros
 
 
+def order_limits(df: DataFrame, order: str) -> tuple[int, int]:
+    """What :func:`order_value` can be."""
+    return ANY if isinstance(df.schema[order].dataType, T.IntegralType) else TIMES
+
+
 def _numbered(df: DataFrame, keys: Keys, ts: str, gap_free, block) -> DataFrame:
     rows = df.withColumn("_t", order_value(df, ts)).where(F.col("_t").isNotNull())
     if gap_free is None:
-        return row_numbers(rows, keys, "_t", block_width(df, ts, block)).drop("_t")
+        return row_numbers(rows, keys, "_t", block_width(df, ts, block), limits=order_limits(df, ts)).drop("_t")
     freq = Frequency.of(gap_free)
     if freq.kind == "fixed":
         # Neighbours differ by one, which is all that counts; the first number may be any.
