@@ -38,12 +38,14 @@ def test_verbatim_reparameterised_and_clean(spark, docs, bench):
         (9, re.sub(r"(\w{5,})", r"\1,", TRAIN)),
     ]
     got = found(dc.leaks(docs(*rows), bench((10, TRAIN), (11, SHORT), (12, None), (13, ""))))
-    assert set(got) == {(1, 10), (2, 10), (3, 10), (6, 11), (7, 10), (9, 10)}
-    assert [got[k].reparameterised for k in sorted(got)] == [False, False, True, False, False, False]
+    # 4 holds twelve windows word for word before its one changed name.
+    assert set(got) == {(1, 10), (2, 10), (3, 10), (4, 10), (6, 11), (7, 10), (9, 10)}
+    assert [got[k].reparameterised for k in sorted(got) if k != (4, 10)] == [False, False, True, False, False, False]
+    assert got[(4, 10)].n_changed == 1
     assert got[(3, 10)].n_changed >= 4
     left = dc.decontaminated(docs(*rows), bench((10, TRAIN), (11, SHORT)))
     assert left.columns == docs().columns
-    assert sorted(r.doc_id for r in left.collect()) == [4, 5, 8]
+    assert sorted(r.doc_id for r in left.collect()) == [5, 8]
 
 
 def test_one_inconsistent_value_does_not_hide_the_rest(spark, docs, bench):
