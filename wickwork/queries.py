@@ -276,6 +276,38 @@ def compact_partition(spark, sf_dir):
     return plain(tables.read_table(spark, table))
 
 
+HOT = "CASE WHEN o_orderkey % 3 = 0 THEN TIMESTAMP '1996-06-01' ELSE o_orderdate END"
+
+
+@query(
+    f"""
+    SELECT CAST(year(t) AS INTEGER) AS year, count(*) AS rows, max(t) AS latest, sum(o_orderkey) AS keys, CAST(4 AS BIGINT) AS files, true AS even
+    FROM (SELECT o_orderkey, {HOT} AS t FROM orders) WHERE year(t) IN (1996, 1997) GROUP BY 1"""
+)
+def compact_hot_time(spark, sf_dir):
+    """A third of all rows have one time; the files of a year differ by a fifth of their rows at most."""
+    orders = orders_of(spark, sf_dir)
+    rows = orders.select("o_orderkey", F.expr(HOT).cast("timestamp").alias("Timestamp"), "o_totalprice")
+    table = new_table(spark, "hot", rows.schema)
+    tables.append(rows, table)
+    tables.compact(spark, table, [1996, 1997], files=4)
+    done = tables.read_table(spark, table).where(F.col("year").isin(1996, 1997))
+    each = done.withColumn("file", F.col("_metadata.file_path")).groupBy("year", "file").agg(
+        F.count(F.lit(1)).alias("n"), F.max("Timestamp").alias("latest"), F.sum("o_orderkey").alias("keys")
+    )
+    mean = F.sum("n") / F.count(F.lit(1))
+    even = (F.max("n") <= 1.2 * mean) & (F.min("n") >= 0.8 * mean)
+    whole = each.groupBy("year").agg(
+        F.sum("n").alias("rows"), F.max("latest").alias("latest"), F.sum("keys").alias("keys"), F.count(F.lit(1)).alias("files"), even.alias("even")
+    )
+    return plain(whole)
+
+
+@query("SELECT min(o_orderdate) AS min_ts, max(o_orderdate) AS max_ts FROM orders")
+def table_bounds(spark, sf_dir):
+    return plain(tables.table_bounds(spark, _orders_table(spark, sf_dir, "bounds")))
+
+
 @query(
     f"""
     WITH t AS (SELECT * FROM ({DAILY_SQL}) WHERE timestamp < '1999-01-01'),

@@ -14,18 +14,23 @@ import threading
 from collections.abc import Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wickwork.functions.frequency import to_micros
 from wickwork.operators.candles import latest_timestamp
+from wickwork.plans.joins import null_safe_join
 from wickwork.schema import CANDLE_SCHEMA, DEFAULT_MARK, TIMESTAMP_FORMAT
 
 ROW_LEVEL = ("iceberg", "delta", "hudi")
 HIDDEN = ("iceberg",)
-#: Session settings are shared by threads; one write at a time may depend on them.
-_SETTINGS = threading.RLock()
+#: The settings of a session are shared by its threads; one write of a session at a time may depend on
+#: them. Every stream writes in a session of its own, so streams do not wait for each other.
+_LOCKS: dict[str, threading.RLock] = {}
+_NEW_LOCK = threading.Lock()
+#: Size of a compacted file, unless a number of files is given.
+TARGET_BYTES = 128 << 20
 GRAINS = {
     "year": lambda ts: F.year(ts),
     "month": lambda ts: F.date_format(ts, "yyyy-MM"),
@@ -165,7 +170,9 @@ def append(
 @contextmanager
 def _settings(spark: SparkSession, **values: str):
     """Session settings for one write; ``insertInto`` takes no options of its own."""
-    with _SETTINGS:
+    with _NEW_LOCK:
+        lock = _LOCKS.setdefault(spark._jsparkSession.sessionUUID(), threading.RLock())
+    with lock:
         before = {key: spark.conf.get(key) for key in values}
         try:
             for key, value in values.items():
@@ -245,25 +252,52 @@ def upsert(
         if changed:
             kept = target.where(in_changed).join(source.where(in_changed), keys, "left_anti")
             rewritten = kept.unionByName(source.where(in_changed).select(*kept.columns))
-            _replace_partitions(_laid_out(rewritten, ts, table, grain, clustered=True), table)
+            _replace_partitions(_laid_out(rewritten, ts, table, grain, clustered=False), table)
         if len(changed) < len(ranges):
             append(source.where(~in_changed), table, ts)
     finally:
         source.unpersist()
 
 
+def file_sizes(rows: DataFrame, partition: str) -> DataFrame:
+    """``partition``, ``file``, ``bytes`` and ``rows`` of the files that plain-file rows come from.
+
+    The scan reads no column but those of the file itself."""
+    meta = rows.select(partition, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+    return meta.groupBy(partition, "file").agg(F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+
+
+def _files_of(rows: DataFrame, partition: str, target_bytes: int) -> dict:
+    """How many files each partition is to have. One row per partition comes to the driver."""
+    sizes = file_sizes(rows, partition).groupBy(partition).agg(F.sum("bytes").alias("bytes")).collect()
+    return {row[0]: max(1, round(row["bytes"] / target_bytes)) for row in sizes}
+
+
+def _bin(key: Column, cuts: Column, most: int) -> Column:
+    """How many of the ascending ``cuts`` (``most`` at most) are below ``key``, by halving."""
+    steps = [1 << i for i in reversed(range(most.bit_length()))]
+
+    def step(at: Column, by: Column) -> Column:
+        return F.when(F.get(cuts, at + by - 1) < key, at + by).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(by) for by in steps]), F.lit(0), step)
+
+
 def compact(
     spark: SparkSession,
     table: str,
     values: Sequence,
-    files: int,
+    files: int | None = None,
     partition: str = "year",
     ts: str = "Timestamp",
+    target_bytes: int = TARGET_BYTES,
 ) -> None:
-    """Rewrite each of the partitions into ``files`` files of about the same size, in one job.
+    """Rewrite each of the partitions into files of about the same size, in one job.
 
-    Files hold consecutive stretches of time, cut at quantiles of each partition's timestamps, so
-    a task never has more than one file's rows. Other partitions are not touched.
+    ``files`` per partition, or as many as the partition's bytes need for files of ``target_bytes``.
+    Files hold consecutive stretches of time. They are cut at quantiles of (time, hash of the row), so
+    the rows of one time, however many, are shared out as well, and a task has one file's rows.
+    Identical rows stay together. Other partitions are not touched.
     """
     values = list(dict.fromkeys(values))
     if not values:
@@ -273,31 +307,93 @@ def compact(
     if partition not in columns:  # hidden
         rows = with_partition(rows, ts, partition)
     # Values may come as text, as from a command line.
-    given = [F.lit(value).cast(rows.schema[partition].dataType) for value in values]
-    rows = rows.where(F.col(partition).isin(*given))
+    kind = rows.schema[partition].dataType
+    rows = rows.where(F.col(partition).isin(*[F.lit(value).cast(kind) for value in values]))
+    merges = supports_merge(spark, table)
+    if files is not None:
+        counts = {row[0]: files for row in rows.select(partition).distinct().collect()}
+    elif merges:
+        raise ValueError("the files of such a table are its own; say how many there are to be")
+    else:
+        counts = _files_of(rows, partition, target_bytes)
+    if not counts:
+        return
+
+    # One whole number per row: its time within the partition, and below that a part of its hash.
     time = to_micros(F.col(ts))
-    place = F.array_position(F.array(*given), F.col(partition)) - 1
-    if files > 1:
-        fractions = [i / files for i in range(1, files)]
-        cuts = rows.groupBy(partition).agg(F.percentile_approx(time, fractions, F.lit(100 * files)).alias("_cuts"))
-        # As many rows as values were given.
-        rows = rows.join(F.broadcast(cuts), partition)
-        before = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < time)), F.lit(0))
+    bounds = rows.groupBy(partition).agg(F.min(time).alias("_low"), F.max(time).alias("_high"))
+    rows = null_safe_join(rows, bounds, [partition])
+    share = F.call_function("div", F.lit(1 << 62), F.col("_high") - F.col("_low") + 1)
+    key = (time - F.col("_low")) * share + F.pmod(F.xxhash64(*columns), share)
+    rows = rows.withColumn("_key", F.coalesce(key, F.lit(0))).drop("_low", "_high")
+
+    first, cut_at = {}, []
+    for number in sorted(set(counts.values())):
+        if number > 1:
+            mine = F.when(F.col(partition).isin([value for value, n in counts.items() if n == number]), F.col("_key"))
+            fractions = [i / number for i in range(1, number)]
+            cut_at.append(F.percentile_approx(mine, fractions, F.lit(max(10_000, 50 * number))))
+    total = 0
+    for value, number in counts.items():
+        first[value] = total
+        total += number
+    if cut_at:
+        # One row per partition. AQE broadcasts it where it is small, and splits hot partitions if not.
+        cuts = rows.groupBy(partition).agg(F.coalesce(*cut_at, F.array().cast("array<bigint>")).alias("_cuts"))
+        rows = null_safe_join(rows, cuts, [partition])
+        target = _bin(F.col("_key"), F.col("_cuts"), max(counts.values()) - 1)
     else:
-        before = F.lit(0)
-    target = (place * files + before).cast("int")
-    rows = rows.repartitionById(len(values) * files, target).sortWithinPartitions(partition, ts).select(*columns)
-    if supports_merge(spark, table):
+        target = F.lit(0)
+    place = F.lit(None).cast("int")
+    for value, start in first.items():
+        place = F.when(F.col(partition).eqNullSafe(F.lit(value)), F.lit(start)).otherwise(place)
+    rows = rows.repartitionById(total, (place + target).cast("int")).sortWithinPartitions(partition, ts).select(*columns)
+    if merges:
         rows.writeTo(table).overwritePartitions()
     else:
         _replace_partitions(rows, table)
 
 
+def partition_values(spark: SparkSession, table: str, grain: str) -> list[str]:
+    """The values of the stored partition column as text, ascending, as the catalog lists them."""
+    listed = [row[0].split("/") for row in spark.sql(f"SHOW PARTITIONS {table}").collect()]
+    found = (part.partition("=")[2] for parts in listed for part in parts if part.startswith(f"{grain}="))
+    return sorted({value for value in found if value != "__HIVE_DEFAULT_PARTITION__"})
+
+
+def table_bounds(spark: SparkSession, table: str, ts: str = "Timestamp") -> DataFrame:
+    """First and last time of a table (``min_ts``, ``max_ts``, one row, null if it is empty).
+
+    Stored partitions follow the time, so only the first and the last of them that hold a time are read.
+    """
+    grain, rows = partition_column(spark, table), read_table(spark, table)
+    if supports_merge(spark, table) or not grain:
+        return rows.agg(F.min(ts).alias("min_ts"), F.max(ts).alias("max_ts"))
+    values = partition_values(spark, table, grain)
+
+    def edge(names: list[str]) -> DataFrame | None:
+        for value in names:
+            part = rows.where(F.col(grain) == F.lit(value).cast(GRAIN_TYPES[grain])).select(ts)
+            if not part.where(F.col(ts).isNotNull()).isEmpty():
+                return part
+        return None
+
+    first, last = edge(values), edge(values[::-1])
+    if first is None or last is None:
+        first = last = rows.where(F.lit(False)).select(ts)
+    kind = rows.schema[ts].dataType
+    ends = first.select(F.col(ts).alias("min_ts"), F.lit(None).cast(kind).alias("max_ts")).unionByName(
+        last.select(F.lit(None).cast(kind).alias("min_ts"), F.col(ts).alias("max_ts"))
+    )
+    return ends.agg(F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"))
+
+
 def latest_mark(spark: SparkSession, table: str, ts: str = "Timestamp", default: str = DEFAULT_MARK) -> str:
     """The latest time in a table as text; the default if it is empty or not there."""
     if not spark.catalog.tableExists(table):
         return default
-    return latest_timestamp(read_table(spark, table), ts, default).first()["latest"]
+    found = table_bounds(spark, table, ts).select(F.col("max_ts").alias(ts))
+    return latest_timestamp(found, ts, default).first()["latest"]
 
 
 def entity_defaults(spark: SparkSession, marks: dict[str, str], symbol: str = "symbol") -> DataFrame:
