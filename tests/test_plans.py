@@ -14,6 +14,7 @@ WRITING = {
     "table_roundtrip", "batch_from_kafka_json", "chunked_range_read", "stream_feed", "append_batch", "year_partitioned_table",
     "table_range_scan", "compact_partition", "upsert_by_timestamp", "load_count", "stream_dedup", "stream_append_table", "stream_upsert",
     "stream_dedup_late", "stream_upsert_last", "stream_monotonic", "stream_candles", "compact_hot_time", "table_bounds",
+    "stream_fanout", "stream_progress",
 }
 
 

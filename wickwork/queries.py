@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from wickwork.session import scratch_path, use_utc
 from wickwork.sources import events as ev
 from wickwork.sources import ranges, tables
 from wickwork.sources.chunks import range_chunks
-from wickwork.streaming import live_candles, monotonic
+from wickwork.streaming import fanout, live_candles, monotonic
 from wickwork.streaming import queries as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -804,3 +805,44 @@ def stream_candles(spark, sf_dir):
         arriving = spark.readStream.schema(rows.schema).parquet(topic)
         live_candles.candle_stream(arriving, table, table, order=["event_id"], checkpoint=checkpoint, trigger=None).awaitTermination()
     return live_candles.read_candles(spark, table)
+
+
+def _fan_out(spark, sf_dir, name: str) -> tuple[dict[str, str], str]:
+    """A topic per symbol, malformed events among them, sent to a table each by one stream in two
+    runs. Returns the tables and the folder of progress rows."""
+    root, checkpoint, path = (scratch_path(spark, f"{name}-{what}") for what in ("topics", "checkpoint", "progress"))
+    body = F.from_json(F.col("value").cast("string"), "Symbol string, Timestamp string")
+    events = encoded(hourly(spark, sf_dir)).withColumns({"topic": body["Symbol"], "late": body["Timestamp"] >= "2024-01-15"})
+    events = events.unionByName(events.withColumn("value", F.lit("not json").cast("binary")))
+    symbols = [row[0] for row in ticks(spark, sf_dir).select("symbol").distinct().collect()]
+    targets = {symbol: new_table(spark, f"{name}_{symbol}", grain="month") for symbol in sorted(symbols)}
+    stream = f"{name}-{uuid.uuid4().hex[:8]}"
+    listener = fanout.ProgressTable(spark, path, stream, list(targets))
+    spark.streams.addListener(listener)
+    try:
+        for late in (True, False):
+            fanout.write_topics(events.where(F.col("late") == late).drop("late"), root)
+            arriving = fanout.stream_topics(spark, list(targets), "parquet", root=root)
+            schema = ranges.RANGE_SCHEMA
+            fanout.fanout_stream(arriving, targets, stream, schema, checkpoint=checkpoint, trigger=None).awaitTermination()
+            listener.ended.wait(60)
+    finally:
+        spark.streams.removeListener(listener)
+    return targets, path
+
+
+@query(WIRE_SQL)
+def stream_fanout(spark, sf_dir):
+    tables_of, _ = _fan_out(spark, sf_dir, "fanout")
+    parts = [tables.read_table(spark, table).where(F.col("Symbol") == symbol).select(*WIRE) for symbol, table in tables_of.items()]
+    return plain(reduce(DataFrame.unionByName, parts))
+
+
+@query(
+    f"""
+    SELECT symbol AS topic, CAST(2 AS BIGINT) AS batches, count(*) AS rows, count(*) AS rejects, max(timestamp) AS latest
+    FROM ({WIRE_SQL}) GROUP BY 1"""
+)
+def stream_progress(spark, sf_dir):
+    _, path = _fan_out(spark, sf_dir, "progress")
+    return plain(fanout.progress(spark, path).drop("stream"))
