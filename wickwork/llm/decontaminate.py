@@ -3,7 +3,8 @@
 Texts are brought to templates: numbers, units after numbers, and names (capitalised words inside a
 sentence) become typed placeholders, the rest is lower case without punctuation. Windows of
 ``WINDOW`` template tokens are hashed (those of little but placeholders with their values, so that exact
-copies of them are met). A second template leaves names as words, so that it does not depend on case; a document whose window hash is among the benchmark's is
+copies of them are met). A second template leaves names as words, so that it does not depend on case. A
+window is hashed once where its forms agree. A document whose window hash is among the benchmark's is
 looked at closely: its windows are joined with the benchmark's by hash and counted along one
 alignment, and the values in the placeholders are compared. Windows with the item's own values count
 as they are. A re-parameterised question replaces each value by one other throughout, so of the
@@ -82,32 +83,58 @@ def in_forms(texts: DataFrame, *keys: str) -> DataFrame:
     return texts.select(*keys, *[tokens(of[form](F.col("_marked"))).alias(form) for form in FORMS])
 
 
-def _hash(form: str, window: Column) -> Column:
-    return F.xxhash64(F.lit(FORMS.index(form)), window)
+def _window_hashes(length: int, values: int | None) -> Column:
+    """The hashes of all windows in all forms, each once where forms agree; none where there are fewer words.
 
+    A form's window is hashed where it can differ from the others: without names the two templates are
+    one, and without numbers and units so are template and values. ``values`` is the least number of
+    those in a benchmark window that is met by its values; null if there is none.
+    """
+    last = F.size("canon") - length
+
+    def at(form: str, starts: Column) -> Column:
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(form, i + 1, F.lit(length))))
+
+    def holding(places: str, least: int) -> Column:
+        """Starts of the windows that hold ``least`` or more of the places."""
+
+        def around(j: Column) -> Column:
+            low = F.greatest(F.get(places, j + (least - 1)) - (length - 1), F.lit(0))
+            high = F.least(F.get(places, j), last)
+            return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
-def _window_hashes(form: str, width: int) -> Column:
-    """The hash of each window; none where there are fewer words."""
-    last = F.size(form) - width
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: _hash(form, F.slice(form, i + 1, F.lit(width)))))
+        some = F.when(F.size(places) >= least, F.sequence(F.lit(0), F.size(places) - least)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.flatten(F.transform(some, around)))
+
+    hashes = [at("canon", F.sequence(F.lit(0), last)), at("blind", holding("_names", 1))]
+    if values is not None:
+        hashes.append(at("raw", holding("_values", values)))
+    return F.when(last >= 0, F.flatten(F.array(*hashes)))
+
+
+def _places(*marks: str) -> Column:
+    """The places of these marks in the template."""
+    every = F.when(F.size("canon") > 0, F.sequence(F.lit(0), F.size("canon") - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(every, lambda i: F.get("canon", i).isin(*marks))
 
 
 def _is_mark(token: Column) -> Column:
     return token.substr(1, 1).isin(NAME, NUMBER, UNIT)
 
 
-def _windows(texts: DataFrame, keys: list[str], width: int, forms: list[str]) -> DataFrame:
-    """Rows (keys, at, found, hash), one per window and form, for a frame with token arrays."""
+def _windows(texts: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Rows (keys, at, found, hash), one per window and distinct form, for a frame with token arrays."""
     last = F.size("raw") - width
     starts = F.when(last >= 0, F.sequence(F.lit(0), last))
     rows = texts.select(*keys, *FORMS, F.explode(starts).alias("at"))
     window = {form: F.slice(form, F.col("at") + 1, F.lit(width)) for form in FORMS}
-    rows = rows.select(*keys, "at", window["raw"].alias("found"), F.array(*[_hash(form, window[form]) for form in forms]).alias("_hashes"))
+    hashes = F.array_distinct(F.array(*[F.xxhash64(window[form]) for form in FORMS]))
+    rows = rows.select(*keys, "at", window["raw"].alias("found"), hashes.alias("_hashes"))
     return rows.select(*keys, "at", "found", F.explode("_hashes").alias("hash"))
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """item_id, item (key), size (window length), pos, raw, canon, free, form, hash, n_windows, n_free.
+    """item_id, item (key), size (window length), pos, raw, canon, free, form, hash, n_values, n_windows, n_free.
 
     An item shorter than a window is one window of its own length. A first word in upper case may be
     a name where the item is quoted inside a sentence, so its window is there both ways. Windows
@@ -128,9 +155,11 @@ def benchmark_windows(benchmark: DataFrame, width: int, item_id: str = "item_id"
         return F.size(F.filter(form, lambda t: ~_is_mark(t))) >= F.least(F.lit(WORDS), F.col("size"))
 
     rows = rows.withColumn("free", worded("canon"))
-    met_by = {"canon": F.col("free"), "blind": F.col("_as_is") & worded("blind"), "raw": F.col("_as_is") & ~F.col("free")}
-    forms = F.array(*[F.when(met_by[form], F.struct(F.lit(form).alias("form"), _hash(form, F.col(form)).alias("hash"))) for form in FORMS])
-    rows = rows.select("item_id", "item", "size", "pos", "raw", "canon", "free", F.explode(F.filter(forms, lambda f: f.isNotNull())).alias("_f"))
+    other = F.col("blind") != F.col("canon")
+    met_by = {"canon": F.col("free"), "blind": F.col("_as_is") & worded("blind") & (other | ~F.col("free")), "raw": F.col("_as_is") & ~F.col("free")}
+    forms = F.array(*[F.when(met_by[form], F.struct(F.lit(form).alias("form"), F.xxhash64(form).alias("hash"))) for form in FORMS])
+    valued = F.size(F.filter("canon", lambda t: t.isin(NUMBER, UNIT))).alias("n_values")
+    rows = rows.select("item_id", "item", "size", "pos", "raw", "canon", "free", valued, F.explode(F.filter(forms, lambda f: f.isNotNull())).alias("_f"))
     counts = rows.groupBy("item").agg(F.count_distinct("pos").alias("n_windows"), F.count_distinct(F.when(F.col("free"), F.col("pos"))).alias("n_free"))
     return rows.select("*", "_f.*").drop("_f").join(counts, "item")
 
@@ -182,9 +211,9 @@ def leaks(
     items = written(benchmark_windows(benchmark, width), "leaks-benchmark")
     hashes = items.select("hash").distinct()
     small = hashes.count() <= BROADCAST
-    lengths: dict[int, list[str]] = {}
-    for r in items.select("size", "form").distinct().orderBy("size", "form").collect():  # at most ``width`` numbers
-        lengths.setdefault(r["size"], []).append(r["form"])
+    least = F.min(F.when((F.col("form") == "raw") & (F.col("n_values") > 0), F.col("n_values")))
+    # At most ``width`` rows.
+    lengths: dict[int, int | None] = dict(items.groupBy("size").agg(least.alias("values")).orderBy("size").collect())
 
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text <> ''")
     keyed = plain.withColumn("text_hash", F.xxhash64("text"))
@@ -192,10 +221,18 @@ def leaks(
     def hinted(frame: DataFrame) -> DataFrame:
         return F.broadcast(frame) if small else frame
 
-    formed = in_forms(keyed.withColumn("_marked", marked(F.col("text"))), "doc_id", "text_hash")
+    formed = keyed.select("doc_id", "text_hash", marked(F.col("text")).alias("_marked")).withColumn("canon", tokens(template(F.col("_marked"))))
+    formed = formed.withColumns({"_names": _places(NAME), "_values": _places(NUMBER, UNIT)})
+    # The other forms only of texts in which they are looked at.
+    formed = formed.withColumns(
+        {
+            "blind": F.when(F.size("_names") > 0, tokens(nameless(F.col("_marked")))),
+            "raw": F.when(F.size("_values") > 0, tokens(values(F.col("_marked")))),
+        }
+    )
     screened = None
-    for length, forms in lengths.items():
-        windows = formed.select("doc_id", "text_hash", F.explode(F.flatten(F.array(*[_window_hashes(form, length) for form in forms]))).alias("hash"))
+    for length, values_of in lengths.items():
+        windows = formed.select("doc_id", "text_hash", F.explode(_window_hashes(length, values_of)).alias("hash"))
         found = windows.join(hinted(hashes), "hash", "left_semi").select("doc_id", "text_hash")
         screened = found if screened is None else screened.unionByName(found)
     if screened is None:
@@ -206,13 +243,13 @@ def leaks(
     near = near.dropDuplicates(["doc_id", "text_hash"]).withColumn("_marked", marked(F.col("text")))
     near = in_forms(near, "doc_id", "text_hash")
     met = None
-    for length, forms in lengths.items():
-        mine = _windows(near, ["doc_id", "text_hash"], length, forms)
+    for length in lengths:
+        mine = _windows(near, ["doc_id", "text_hash"], length)
         theirs = items.where(F.col("size") == length)
         one = mine.join(hinted(theirs) if small else theirs, "hash")
         met = one if met is None else met.unionByName(one)
     if met is None:
-        met = _windows(near, ["doc_id", "text_hash"], width, list(FORMS)).join(items, "hash")
+        met = _windows(near, ["doc_id", "text_hash"], width).join(items, "hash")
 
     # Values in placeholders: (what the item has, what the document has), with the kind in front.
     paired = F.filter(F.arrays_zip("canon", "raw", "found"), lambda p: p["canon"].rlike(f"[{NAME}{NUMBER}{UNIT}]"))
