@@ -162,3 +162,17 @@ def test_open_and_close_of_equal_times(spark):
     df = spark.createDataFrame(rows, "symbol string, s long, value double, trade long").withColumn("ts", F.timestamp_seconds("s"))
     one = candles.ohlcv_candles(df, order=["trade"]).first()
     assert (one.open, one.close) == (2.0, 1.0)
+
+
+@pytest.mark.parametrize("fill", [fills.fill_forward, fills.fill_backward])
+@pytest.mark.parametrize("times", [["2024-01-01 00:00", "2024-01-02 12:00"], ["2024-01-01 00:00", "2024-01-03 00:00", "2024-01-03 00:00"]])
+def test_regular_is_looked_at(spark, fill, times):
+    rows = spark.createDataFrame([("a", float(i), t) for i, t in enumerate(times)], "symbol string, y double, t string")
+    rows = rows.select("symbol", "y", F.col("t").cast("timestamp").alias("ds"))
+    with pytest.raises(Exception, match="not regular"):
+        fill(rows, regular=True).collect()
+    with pytest.raises(Exception, match="not regular"):
+        fills.asof_next(rows, regular=True).collect()
+    with pytest.raises(Exception, match="not regular"):
+        fills.spine_left_join(rows, regular=True).collect()
+    assert fill(rows).count() >= 2

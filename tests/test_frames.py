@@ -127,3 +127,12 @@ def test_sparse_blocks(spark):
 def test_flatten(series):
     flat = frames.flatten(frames.forecast(series, ["a", "b"], 2, 1, target="b"), 2, 1, ["a", "b"])
     assert flat.columns == ["symbol", "ts", "x_1_a", "x_1_b", "x_2_a", "x_2_b", "y_1"]
+
+
+@pytest.mark.parametrize("minutes", [[0, 1, 3, 4, 5], [0, 1, 1, 2, 3]])
+def test_gap_free_is_looked_at(spark, minutes):
+    rows = spark.createDataFrame([("a", float(i), f"2024-01-01 00:0{m}") for i, m in enumerate(minutes)], "symbol string, close double, t string")
+    rows = rows.select("symbol", "close", F.col("t").cast("timestamp").alias("ts"))
+    with pytest.raises(Exception, match="not gap-free"):
+        frames.univariate(rows, "close", 2, 1, gap_free="min").collect()
+    assert frames.univariate(rows, "close", 2, 1).count() == 3

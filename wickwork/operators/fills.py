@@ -15,7 +15,7 @@ Three fills, which differ in what a gap and an existing null get:
 ============================  ==============================  =================================
 
 ``regular=True`` states what holds for a candle table: one row per series and time, every time
-on the grid. Without it the series is first brought into that form by an aggregation with
+on the grid; a row for which it does not hold fails the query. Without it the series is first brought into that form by an aggregation with
 map-side combine (so neither a burst of rows nor copies of one time can fill a task), and the
 full rows are joined back where they are part of the result.
 """
@@ -108,12 +108,18 @@ def _with_gaps(
     freq: Frequency,
     in_gap: dict[str, Column],
     columns: Sequence[str],
+    regular: bool = False,
 ) -> DataFrame:
     """Explode each row into the missing points before it and itself.
 
-    Rows have ``_t``, ``_prev`` (time of the row before, null for the first) and ``_anchor``.
+    Rows have ``_t``, ``_prev`` (time of the row before, null for the first) and ``_anchor``. With
+    ``regular`` a row off the grid, or a second one of its time, is an error rather than moved.
     """
     at = freq.ordinal(F.col("_t"), F.col("_anchor"))
+    if regular:
+        holds = (freq.point(at, F.col("_anchor")) == F.col("_t")) & (F.col("_prev").isNull() | (F.col("_prev") < F.col("_t")))
+        broken = F.concat(F.lit("not regular: a row off the grid or a second one at "), from_micros(F.col("_t"), kind).cast("string"))
+        at = F.when(holds, at).otherwise(F.raise_error(broken).cast("bigint"))
     rows = rows.withColumn("_at", at)
     since = F.coalesce(freq.ordinal(F.col("_prev"), F.col("_anchor")) + 1, F.col("_at"))
     # A copy of the same time has nothing to add but itself.
@@ -172,7 +178,7 @@ def _fill_column(df, value, ts, keys, freq, regular, block_rows, back: bool) ->
         gap_value = F.coalesce("_next", "_before")
     filled = filled.withColumn("_gap", gap_value).withColumn(value, F.coalesce(value, "_gap"))
     filled = drop_edges(filled)
-    points = _with_gaps(filled, keys, ts, kind, freq, {value: F.col("_gap")}, names)
+    points = _with_gaps(filled, keys, ts, kind, freq, {value: F.col("_gap")}, names, regular)
     if regular:
         return points.drop("_here")
 
@@ -245,7 +251,7 @@ def _next_rows(df, ts, keys, freq, regular, block_rows, then_forward: bool) -> D
     else:
         filled = _with_previous(slots, keys, freq, [] if regular else rest, block_rows)
     return _with_gaps(
-        drop_edges(filled), keys, ts, kind, freq, {name: F.col(name) for name in rest}, columns
+        drop_edges(filled), keys, ts, kind, freq, {name: F.col(name) for name in rest}, columns, regular
     ).drop("_here")
 
 
@@ -298,6 +304,6 @@ def spine_left_join(
         times = _grid_slots(rows, keys)
         rows = rows.where("_real")
     filled = _with_previous(times, keys, freq, [] if regular else ["_real"], block_rows)
-    points = _with_gaps(drop_edges(filled), keys, ts, kind, freq, {}, [*keys, ts, "_real"])
+    points = _with_gaps(drop_edges(filled), keys, ts, kind, freq, {}, [*keys, ts, "_real"], regular)
     gaps = points.where(~(F.col("_here") & F.coalesce("_real", F.lit(False)))).select(*keys, ts)
     return rows.select(*columns).unionByName(gaps, allowMissingColumns=True)

@@ -6,7 +6,7 @@ over the block then give the samples; a task sorts and holds a block, not a seri
 
 Numbering takes a shuffle of its own, with blocks of time ``block``. A series without gaps (as the
 fills return it) has its numbers in its timestamps: name its frequency as ``gap_free`` and only
-one shuffle is left.
+one shuffle is left; a missing or repeated row then fails the query.
 
 ``N`` rows, look-back ``L`` and horizon ``H`` give these samples per series:
 
@@ -85,7 +85,14 @@ def _haloed(
     wanted = [name for name in dict.fromkeys([ts, *columns]) if name not in keys]
     rows = _numbered(df.select(*keys, *wanted), keys, ts, gap_free, block)
     rows = with_halo(rows, "_row", behind, ahead, max(block_rows, behind, ahead, 1))
-    return rows, Window.partitionBy(*keys, BLOCK).orderBy("_row")
+    w = Window.partitionBy(*keys, BLOCK).orderBy("_row")
+    if gap_free is not None:
+        # The promise is looked at where it is relied on: neighbours in a block are one step apart.
+        step = F.col("_row") - F.lag("_row").over(w)
+        broken = F.concat(F.lit("not gap-free: a missing or second row before "), F.col(ts).cast("string"))
+        holds = F.when(F.coalesce(F.col("_step"), F.lit(1)) == 1, F.lit(True)).otherwise(F.raise_error(broken).cast("boolean"))
+        rows = rows.withColumn("_step", step).where(holds).drop("_step")
+    return rows, w
 
 
 def _own(rows: DataFrame) -> DataFrame:
