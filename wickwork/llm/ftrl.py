@@ -82,7 +82,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id",
     with_python(docs.sparkSession)
     chosen = written(sample(labels, doc_id, label, size), "ftrl-sample")
     # At most ``size`` ids.
-    texts = docs.join(F.broadcast(chosen), docs[doc_id] == chosen._id).select("_id", "_label", F.coalesce(text, F.lit("")).alias("_text"))
+    texts = docs.select(F.col(doc_id).alias("_of"), F.coalesce(text, F.lit("")).alias("_text"))
+    texts = texts.join(F.broadcast(chosen), F.col("_of") == F.col("_id")).select("_id", "_label", "_text")
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def coordinates(column: pa.Array) -> pa.Array:

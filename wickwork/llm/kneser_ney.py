@@ -267,9 +267,10 @@ def quality(
     weight = F.col("_n") / (F.col("_n") + PRIOR)
     by_lang = calibrated.groupBy("_lang").agg(cut.alias("_cut"), F.count(F.lit(1)).alias("_n"))
     own = F.exp(weight * F.log("_cut") + (1 - weight) * F.log(F.lit(overall).cast("double")))
-    by_lang = by_lang.select("_lang", own.alias("_own"))
+    of_lang, own_limit = free_name(docs, "_lang"), free_name(docs, "_own")
+    by_lang = by_lang.select(F.col("_lang").alias(of_lang), own.alias(own_limit))
     limit, kept = free_name(docs, "threshold"), free_name(docs, "kept")
-    joined = out.join(by_lang, out[lang].eqNullSafe(by_lang._lang), "left")
+    joined = out.join(by_lang, out[lang].eqNullSafe(by_lang[of_lang]), "left")
     opening = F.exp(OPENING / F.greatest(F.length(text), F.lit(1)))
-    joined = joined.withColumn(limit, F.coalesce("_own", F.lit(overall).cast("double")) * opening).drop("_own", "_lang")
+    joined = joined.withColumn(limit, F.coalesce(own_limit, F.lit(overall).cast("double")) * opening).drop(own_limit, of_lang)
     return joined.withColumn(kept, F.coalesce(F.col(name) <= F.col(limit), F.lit(True)))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickwork.llm.tables import with_python, written
+from wickwork.llm.tables import free_name, with_python, written
 
 BANDS = 48
 ROWS = 6
@@ -356,10 +356,11 @@ def deduplicated(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFr
     named = verdict.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "kept", "n_shingles")
     gone = named.where("not kept").select("_id", "_hash")
     repeated = named.where("kept and n_shingles > 0").groupBy("_id", "_hash").count().where("count > 1").select("_id", "_hash")
-    keyed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    key = free_name(docs, "_text_hash")
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
 
     def matched(other: DataFrame, how: str) -> DataFrame:
-        same = keyed.doc_id.eqNullSafe(other._id) & (keyed._text_hash == other._hash)
+        same = keyed.doc_id.eqNullSafe(other._id) & (keyed[key] == other._hash)
         return keyed.join(other, same, how).select(*docs.columns)
 
     once = matched(gone.union(repeated), "left_anti")
