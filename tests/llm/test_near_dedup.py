@@ -54,10 +54,11 @@ def corpus(seed, n=150):
     return rows
 
 
-@pytest.mark.parametrize("width, large", [(2, 64), (5, 64), (2, 1)])
-def test_components_against_all_pairs(spark, docs, monkeypatch, width, large):
+@pytest.mark.parametrize("width, large, size", [(2, 64, 1 << 20), (5, 8, 1 << 20), (2, 1, 2000)])
+def test_components_against_all_pairs(spark, docs, monkeypatch, width, large, size):
     monkeypatch.setattr(nd, "LARGE", large)
     monkeypatch.setattr(nd, "BLOCK", 16 * large)
+    monkeypatch.setattr(nd, "BLOCK_BYTES", size)
     rows = corpus(width)
     got = nd.near_duplicates(docs(*rows), width).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got)) == sorted(brute(rows, width, 80))
@@ -113,3 +114,45 @@ def test_estimate():
             errors.append(nd.estimate(*sketch, np.array([n]), np.array([n]))[0] - share)
         assert abs(np.mean(errors)) < 0.02
         assert np.max(np.abs(errors)) < 0.12
+
+
+@pytest.mark.parametrize("n", [9, 40, 200, 1500])
+def test_links_lost_at_the_threshold(n):
+    """Of pairs at 0.80 to 0.82 none fails to share a band, and the estimate rejects none."""
+    rng = np.random.default_rng(n)
+    common, lost, tried = -(-n * 8 // 9), 0, 1500 if n < 1000 else 400
+    assert 0.8 <= common / (2 * n - common) <= 0.82
+    for _ in range(tried):
+        pool = np.unique(rng.integers(1, 2**63, 2 * n - common, dtype=np.uint64))
+        pool = rng.permutation(pool)
+        a, b = nd.registers(np.sort(pool[:n])), nd.registers(np.sort(pool[n - common :]))
+        share = (a == b).reshape(nd.BANDS, nd.ROWS).all(axis=1).any()
+        least = 0.8 - nd.SLACK * np.sqrt(0.8 * 0.2 / min(n, nd.BUCKETS))
+        lost += not (share and nd.estimate(a[None], b[None], np.array([n]), np.array([n]))[0] >= least)
+    assert lost == 0
+
+
+def test_pairs_grow_with_the_documents(spark, docs, monkeypatch):
+    """A group whose members all lie just below the threshold: rows of pairs in proportion to it."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+
+    def group(n):
+        rows = []
+        for i in range(n):
+            words = list(base)
+            for at in rng.sample(range(300), 19):
+                words[at] = f"x{rng.random()}"
+            rows.append((i, " ".join(words)))
+        return rows
+
+    made, call = [], nd._Linker.__call__
+    monkeypatch.setattr(nd._Linker, "__call__", lambda self, pairs: made.append(pairs.count()) or call(self, pairs))
+    totals = []
+    for n in (150, 300):
+        made.clear()
+        rows = group(n)
+        got = {r.doc_id: r.component_id for r in nd.near_duplicates(docs(*rows), 2).collect()}
+        assert got == {d: c for d, _, c in brute(rows, 2, 80)}
+        totals.append(sum(made))
+    assert totals[1] <= 2.3 * totals[0]

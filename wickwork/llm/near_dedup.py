@@ -11,14 +11,18 @@ Work grows with the documents, not with the pairs inside a group of copies:
 
 * documents with equal sets form one *class*, by a map-side combined aggregation; everything
   below is between classes, so thousands of copies are one class;
-* in each band's bucket every class is first paired with one hub only (a star). Pairs pass the
-  size bound, then the estimate of the sketches (corrected for chance collisions of registers),
-  then the comparison of the full sets. Stars join groups of near copies into components;
+* every class is first paired with one hub, the smallest class that any of its buckets holds. Then,
+  in each bucket, one representative of every component is paired with the bucket's hub (a star).
+  Pairs pass the size bound, then the estimate of the sketches (corrected for chance collisions of
+  registers), then the comparison of the full sets. Stars join groups of near copies into components;
 * what shares a bucket but is still in different components is then compared as well, so no link
-  that a bucket could show is missed. In small buckets these are pairs as before. Of a large bucket
-  the members outside its main component meet all members in blocks: full sets (as 64-bit shingle
-  hashes) are compared inside a task, and only links leave it. Pairs within a component are never
-  looked at.
+  that a bucket could show is missed. In buckets of up to ``LARGE`` members these are pairs, at most
+  half of ``LARGE`` a member. Of a larger bucket the members outside its main component meet all
+  members in blocks: full sets (as 64-bit shingle hashes) are compared inside a task, and only links
+  leave it. Pairs within a component are never looked at.
+
+Rows are thus in proportion to the documents. The comparisons of a large bucket are not, where most
+of its members lie just below the threshold: they grow with its square, shared out over its blocks.
 
 Components come from min-label propagation with pointer jumps, each round a written table.
 """
@@ -40,9 +44,12 @@ BUCKETS = BANDS * ROWS
 MANTISSA = 10
 #: The estimate may be so many standard deviations below the threshold before a pair is dropped.
 SLACK = 6.0
-#: Buckets with more classes are compared in blocks of about ``BLOCK`` classes.
-LARGE = 64
+#: Buckets with more classes are compared in blocks of about ``BLOCK`` classes and ``BLOCK_BYTES`` bytes.
+LARGE = 8
 BLOCK = 256
+BLOCK_BYTES = 4 << 20
+#: Shares that the rows of one component or hub are dealt into before a join by it.
+SHARES = 16
 #: Distinct shingles of a block compared at a time.
 COLUMNS = 16_384
 
@@ -172,16 +179,25 @@ def confirmed(width: int, threshold: int):
     return linked
 
 
+def joined(rows: DataFrame, by: str, looked_up: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` with what ``looked_up`` has under ``key`` for their column ``by``. Many rows may look for
+    one key: they go to ``SHARES`` tasks, each of which has a copy of the narrow row found."""
+    rows = rows.withColumn("_share", F.pmod(F.xxhash64(*rows.columns), F.lit(SHARES)))
+    copies = looked_up.withColumn("_copy", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SHARES)])))
+    return rows.join(copies, (rows[by] == copies[key]) & (rows["_share"] == copies["_copy"]), how).drop("_share", "_copy")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``links`` (a, b): the smallest node it is connected with."""
     edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "dedup-edges")
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label")), "dedup-labels")
     while True:
         # The smallest label around, then the label of that label.
-        around = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
+        around = joined(edges, "b", labels, "node").groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(around, labels.node == around.a, "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("near"))
         jumps = labels.select(F.col("node").alias("at"), F.col("label").alias("beyond"))
-        nearer = lower.join(jumps, lower.near == jumps.at, "left").select("node", F.coalesce("beyond", "near").alias("label"), (F.coalesce("beyond", "near") != F.col("label")).alias("moved"))
+        after = F.coalesce("beyond", "near")
+        nearer = joined(lower, "near", jumps, "at", "left").select("node", after.alias("label"), (after != F.col("label")).alias("moved"))
         nearer = written(nearer, "dedup-labels")
         labels = nearer.select("node", "label")
         if nearer.where("moved").isEmpty():
@@ -227,28 +243,42 @@ def near_duplicates(
     sized = classes.select("node", "n", "registers")
     link = _Linker(sets, sized, width, threshold)
 
-    star = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = written(link(star), "dedup-links")
-    labels = components(stars)
-
-    placed = shared.join(labels, "node", "left").select("key", "node", "n", "hub", F.coalesce("label", "node").alias("label"))
-    sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("of_label"))
+    nearest = shared.where("node <> hub").groupBy("node").agg(F.min("hub").alias("first_hub"))
+    first = written(link(nearest.select(F.col("node").alias("a"), F.col("first_hub").alias("b"))), "dedup-links")
+    placed = written(_placed(shared, components(first)).join(nearest, "node", "left"), "dedup-placed")
+    hubs = placed.where("node = hub").select("key", F.col("label").alias("hub_label"))
+    # Not the pairs looked at already: where these are no links, others of the component may be.
+    star = placed.where("node <> hub and hub <> first_hub").join(hubs, "key").where("label <> hub_label")
+    star = star.groupBy("key", "label", "hub").agg(F.min("node").alias("a")).select("a", F.col("hub").alias("b")).distinct()
+    stars = written(first.union(link(star)), "dedup-links")
+
+    placed = _placed(shared, components(stars))
+    sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("of_label"), F.sum("n").alias("shingles"))
     sizes = sizes.groupBy("key").agg(
-        F.max_by("label", F.struct("of_label", "label")).alias("main"), F.max("of_label").alias("_main"), F.sum("of_label").alias("members")
+        F.max_by("label", F.struct("of_label", "label")).alias("main"),
+        F.max(F.struct("of_label", "label", "shingles")).alias("_main"),
+        F.sum("of_label").alias("members"),
+        F.sum("shingles").alias("shingles"),
     )
-    sizes = sizes.where("members > _main").select("key", "main", "members", (F.col("members") - F.col("_main")).alias("visitors"))
+    visitors, theirs = F.col("members") - F.col("_main.of_label"), F.col("shingles") - F.col("_main.shingles")
+    sizes = sizes.where(visitors > 0).select("key", "main", "members", _blocks("members", "shingles").alias("m_blocks"), _blocks(visitors, theirs).alias("v_blocks"))
     apart = written(placed.join(sizes, "key"), "dedup-apart")
 
     x, y = (apart.where((F.col("members") <= LARGE) & (F.col("node") != F.col("hub"))).alias(name) for name in "xy")
     close = (F.col("x.n") * threshold <= F.col("y.n") * 100) & (F.col("y.n") * threshold <= F.col("x.n") * 100)
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & close)
-    pairs = link(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    # The hub has been compared with one member of each component only.
+    hub = apart.where((F.col("members") <= LARGE) & (F.col("node") == F.col("hub"))).select("key", F.col("label").alias("hub_label"))
+    to_hub = apart.where((F.col("members") <= LARGE) & (F.col("node") != F.col("hub"))).join(hub, "key").where("label <> hub_label")
+    pairs = link(across.union(to_hub.select("node", "hub")).distinct())
     blocks = _block_links(apart.where(F.col("members") > LARGE), sets, width, threshold)
     labels = components(stars.union(pairs).union(blocks))
 
-    member = classes.join(labels, "node", "left").select("set_hash", "_first", F.coalesce("label", "node").alias("label"))
-    winners = member.groupBy("label").agg(F.min("_first").alias("_winner"))
-    decided = member.join(winners, "label").select("set_hash", "_winner")
+    linked = classes.join(labels, "node").select("node", "_first", "label")
+    winners = linked.groupBy("label").agg(F.min("_first").alias("_winner"))
+    winners = joined(linked.select("node", "label"), "label", winners.withColumnRenamed("label", "_label"), "_label").select("node", "_winner")
+    decided = classes.join(winners, "node", "left").select("set_hash", F.coalesce("_winner", "_first").alias("_winner"))
     out = rows.drop("registers").join(decided, "set_hash", "left")
     alone = F.col("_winner").isNull()
     first = (F.col("_winner.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("_winner.text_hash") == F.col("text_hash"))
@@ -261,6 +291,17 @@ def near_duplicates(
     )
 
 
+def _placed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, node, n, hub, label``: members of buckets with their components."""
+    return shared.join(labels, "node", "left").select("key", "node", "n", "hub", F.coalesce("label", "node").alias("label"))
+
+
+def _blocks(members, shingles):
+    """Into how many blocks so many members with so many shingles in all are cut."""
+    members, shingles = (F.col(x) if isinstance(x, str) else x for x in (members, shingles))
+    return F.greatest(F.ceil(members / BLOCK), F.ceil(shingles * 8 / BLOCK_BYTES)).cast("long")
+
+
 def _texts(docs: DataFrame, classes: DataFrame, shared: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``node, text`` of the classes that share a bucket with another."""
     wanted = classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("_first.doc_id").alias("_id"), F.col("_first.text_hash").alias("_hash"))
@@ -300,19 +341,24 @@ def common_members(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
 def _block_links(rows: DataFrame, sets: DataFrame, width: int, threshold: int) -> DataFrame:
     """Links (a, b) between the members of large buckets that lie in different components.
 
-    ``rows``: key, node, label, main, members, visitors. Visitors, in blocks, meet all members, in
-    blocks; of a visitor's links to one component in one block, one is enough.
+    ``rows``: key, node, label, main, m_blocks, v_blocks. Visitors, in blocks, meet all members, in
+    blocks; of a visitor's links to one component in one block, one is enough. Pairs of blocks, not
+    buckets, are dealt to tasks.
     """
     wanted = sets.join(rows.select("node").distinct(), "node", "left_semi")
     sets = written(wanted.select("node", set_of(width)("text").alias("set")), "dedup-sets")
+    meetings = rows.where("label <> main").select("key", "v_blocks", "m_blocks").distinct()
+    for side in "vm":
+        meetings = meetings.withColumn(f"{side}_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{side}_blocks") - 1)))
+    meetings = meetings.drop("v_blocks", "m_blocks")
     rows = rows.join(sets, "node")
 
-    def packed(some: DataFrame, count: str, name: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("node"), F.ceil(F.col(count) / BLOCK))
-        some = some.groupBy("key", block.alias("block")).agg(F.collect_list(F.struct("node", "label", "set")).alias("rows"))
-        return some.select("key", *[F.col(f"rows.{c}").alias(f"{name}_{c}") for c in ("node", "label", "set")])
+    def packed(some: DataFrame, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("node"), F.col(f"{name}_blocks")).alias(f"{name}_block")
+        some = some.groupBy("key", block).agg(F.collect_list(F.struct("node", "label", "set")).alias("rows"))
+        return some.select("key", f"{name}_block", *[F.col(f"rows.{c}").alias(f"{name}_{c}") for c in ("node", "label", "set")])
 
-    met = packed(rows.where("label <> main"), "visitors", "v").join(packed(rows, "members", "m"), "key")
+    met = meetings.join(packed(rows.where("label <> main"), "v"), ["key", "v_block"]).join(packed(rows, "m"), ["key", "m_block"])
 
     def links(batches):
         for batch in batches:
@@ -325,7 +371,7 @@ def _block_links(rows: DataFrame, sets: DataFrame, width: int, threshold: int) -
                 _, first = np.unique(np.stack([at, m_label[to]], axis=1), axis=0, return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(v[at[first]]), pa.array(m[to[first]])], ["a", "b"])
 
-    return met.drop("key").mapInArrow(links, "a long, b long")
+    return met.drop("key", "v_block", "m_block").mapInArrow(links, "a long, b long")
 
 
 class _Linker:
