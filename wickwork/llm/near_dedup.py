@@ -189,7 +189,9 @@ def joined(rows: DataFrame, by: str, looked_up: DataFrame, key: str, how: str =
 
 def components(links: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``links`` (a, b): the smallest node it is connected with."""
-    edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "dedup-edges")
+    # Both directions from one pass over the links, which may still have to be computed.
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = written(links.select(F.explode(both).alias("_")).select("_.a", "_.b").distinct(), "dedup-edges")
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label")), "dedup-labels")
     while True:
         # The smallest label around, then the label of that label.
