@@ -3,6 +3,7 @@ import zlib
 
 import pytest
 
+from wickwork.llm import kd_shards as kd
 from wickwork.llm.kd_shards import kd_shards
 from wickwork.llm.queries import QUERIES
 
@@ -42,6 +43,58 @@ def test_splits_follow_the_widest_dimension(spark, docs):
     assert [got[i] for i in range(64)] == [i // 16 for i in range(64)]
 
 
+def brute(rows, shards):
+    """The tree by plain loops. ``rows``: (id, size, values); no two rows share a value of a dimension."""
+    dims = range(len(rows[0][2]))
+    whole = [max(1, max(r[2][d] for r in rows) - min(r[2][d] for r in rows)) for d in dims]
+    out = {}
+
+    def split(part, first, leaves):
+        if leaves == 1 or not part:
+            out.update((r[0], first) for r in part)
+            return
+        d = max(dims, key=lambda d: ((max(r[2][d] for r in part) - min(r[2][d] for r in part)) / whole[d], -d))
+        half, upto, sides = leaves // 2, 0, ([], [])
+        for r in sorted(part, key=lambda r: r[2][d]):
+            upto += r[1]
+            sides[upto > sum(r[1] for r in part) * half / leaves].append(r)
+        split(sides[0], first, half)
+        split(sides[1], first + half, leaves - half)
+
+    split(rows, 0, shards)
+    return out
+
+
+@pytest.mark.parametrize("shards", [2, 7, 64])
+def test_tree_against_plain_loops(spark, docs, shards):
+    rng = random.Random(shards)
+    n = 300
+    sources, lengths = rng.sample(range(n), n), rng.sample(range(10**12), n)
+    rows = [(i, "x" * rng.randint(0, 40), None, f"https://example/{sources[i]:05d}", lengths[i]) for i in range(n)]
+    want = brute([(i, size(rows[i][1]), (sources[i], lengths[i])) for i in range(n)], shards)
+    got = kd_shards(docs(*rows), shards=shards, dimensions=["source", "n_chars"]).collect()
+    assert {r.doc_id: r.shard for r in got} == want
+
+
+def test_long_texts_that_begin_alike_are_told_apart(spark, docs):
+    def made(prefix):
+        rows = [(i, "x" * 20, "en", prefix + ("a" if i % 2 else "b"), None) for i in range(200)]
+        return {r.doc_id: r.shard for r in kd_shards(docs(*rows), shards=2, dimensions=["source"]).collect()}
+
+    short = made("")
+    assert short == made("https://a-long-way-in-common/")
+    assert {short[i] for i in range(1, 200, 2)} == {0} and {short[i] for i in range(0, 200, 2)} == {1}
+
+
+def test_ranks_with_hot_values_and_nulls(spark, docs, monkeypatch):
+    monkeypatch.setattr(kd, "HOT", 4)
+    values = ["hot"] * 50 + [f"v{i % 30:02d}" for i in range(60)] + [None, "", "é", "z"]
+    frame = spark.createDataFrame(list(enumerate(values)), "row long, d_0 string").repartition(5)
+    order = {v: i for i, v in enumerate(sorted({v for v in values if v is not None}, key=lambda v: v.encode()))}
+    got = {r.row: r.d_0 for r in kd.ranked(frame, "d_0").collect()}
+    assert got == {i: order.get(v, -1) for i, v in enumerate(values)}
+
+
 def test_edges(spark, docs):
     assert kd_shards(docs(), shards=8).count() == 0
     rows = [(1, None), (1, None), (2, ""), (None, "x" * 100_000), (3, "y"), (3, "y")]
