@@ -1,6 +1,8 @@
 import random
 import re
+import time
 
+import pytest
 
 from wickwork.llm import secret_scan as ss
 from wickwork.llm.queries import QUERIES
@@ -53,6 +55,35 @@ def test_dictionary_counts_all_texts(spark, docs):
     assert [r.word for r in ss.dictionary(frame, size=1).collect()] == ["to"]
 
 
+def test_prose_after_a_name_is_no_finding():
+    def of(text):
+        return [(text[s:e], ss.self_label(text, s, e)) for s, e in ss.candidates(text)]
+
+    assert of("The secret: never give up") == [("never", 0)]
+    assert of("password: required, Author token: The end") == [("required", 0), ("The", 0)]
+    assert of('password: "hunter" pwd: hunter2 token=never') == [("hunter", 1), ("hunter2", 1), ("never", 1)]
+
+
+def test_words_of_a_very_long_run(monkeypatch):
+    words = frozenset({"garden", "wall", "to"})
+    assert ss._made_of_words("gardenwall", words) and ss._made_of_words("wall", words) and ss._made_of_words("towall", words)
+    assert not ss._made_of_words("gardenx", words) and not ss._made_of_words("gardenwallto", words)
+    text = "aB1" + "q" * 1_000_000
+    start = time.perf_counter()
+    assert len(ss.describe(text, 0, len(text), words)) == len(ss.FEATURES)
+    assert time.perf_counter() - start < 20
+
+
+def test_neighbouring_words_are_hashed():
+    def slots(text):
+        at = text.index("Q1w2e3r4t5y6")
+        return ss.describe(text, at, at + 12, frozenset())[-ss.SLOTS :]
+
+    assert slots("build garden Q1w2e3r4t5y6 x") != slots("other things Q1w2e3r4t5y6 x")
+    assert slots("GARDEN Q1w2e3r4t5y6") == slots("Q1w2e3r4t5y6 garden garden")
+    assert not any(slots("password Q1w2e3r4t5y6"))
+
+
 def made(n, seed):
     rng = random.Random(seed)
     rows, truth = [], {}
@@ -92,3 +123,15 @@ def test_query_finds_planted_secrets(spark):
     assert all(got[p].is_secret for p in places)
     others = [r for p, r in got.items() if p not in set(places)]
     assert sum(r.is_secret for r in others) <= 0.1 * len(others) + 2
+
+
+@pytest.mark.parametrize("hidden", [(), ss.RULE])
+def test_held_out_findings(spark, hidden):
+    """Precision and recall on values that were not learnt from, with and without what the rule goes by."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    kept = [r for r in ss.secrets(docs, hidden=hidden).collect() if r.held_out]
+    hits = sum(r.is_secret and r.label == 1 for r in kept)
+    found, real = sum(r.is_secret for r in kept), sum(r.label == 1 for r in kept)
+    print("held out", hidden, len(kept), real, found, hits)
+    assert real >= 20 and len(kept) >= real + 20
+    assert hits >= 0.9 * found and hits >= 0.9 * real

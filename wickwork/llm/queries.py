@@ -236,7 +236,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secrets(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "label", "probability", "is_secret")
+    return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "label", "held_out", "probability", "is_secret")
 
 
 @query()

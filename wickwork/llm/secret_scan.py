@@ -1,15 +1,20 @@
 """Secrets in texts: candidates by shape, false positives removed by a random forest.
 
 Candidates are unbroken strings of key characters with a digit or mixed case, long enough to be a
-secret, and whatever is assigned to a secret's name, at any length. A candidate is described by its length, its character transitions, how much of it is made
-of pieces of the corpus' own words (the dictionary), whether it lies in a path or address, and the words
-beside it. A random forest (Spark's own) learns from labelled findings which are secrets, and scores all.
+secret, and whatever is assigned to a secret's name, at any length. A candidate is described by its
+length, its character transitions, how much of it is made of pieces of the corpus' own words (the
+dictionary), whether it lies in a path or address, and the words beside it, hashed into ``SLOTS``
+features. A random forest (Spark's own) learns from labelled findings which are secrets, and scores all.
 
 Where no labelled findings are given, candidates label themselves on a documented rule
 (:func:`self_labels`): a format that issuers guarantee, or an assignment to a secret's name, is a
-finding; words, card numbers, addresses and the like are false positives; the rest has no label. What
-the rule looks at is partly hidden from the forest (it sees neither prefix nor format), so it
-has to generalise from length, transitions, dictionary and surroundings.
+finding; words, card numbers, addresses and the like are false positives, and so is a plain word after
+a name and a colon ("password: required"); the rest has no label. The forest sees neither prefix nor
+format. ``hidden`` names features that it shall not see either: without ``RULE``, all that tells of an
+assignment, it has to generalise from length, transitions, dictionary and surroundings.
+
+One in ``KEPT_BACK`` labelled values, by hash, is never learnt from (``held_out``), so its findings
+tell precision and recall; all findings of a value are on one side.
 
 The dictionary is bounded: the ``WORDS`` most frequent words, by counts over all texts. At most
 ``SAMPLE`` findings per label are learnt from, those with the smallest hashes.
@@ -18,6 +23,8 @@ The dictionary is bounded: the ``WORDS`` most frequent words, by counts over all
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +40,12 @@ WORDS = 20_000
 SAMPLE = 20_000
 TREES, DEPTH, SEED = 40, 8, 7
 THRESHOLD = 0.5
+#: One in so many labelled values is not learnt from.
+KEPT_BACK = 5
+#: Features that neighbouring words are hashed into.
+SLOTS = 32
+#: Letters of the longest word the dictionary may hold.
+LETTERS = 40
 #: Characters looked at on each side of a candidate.
 BESIDE = 40
 
@@ -49,13 +62,18 @@ _ASSIGNED = re.compile(
 )
 #: What is left of a name before an assigned value.
 _NAME_PART = re.compile(r"[A-Za-z0-9_.-]*\Z")
+#: A colon that assigns nothing for certain: no quotes, no ``:=``.
+_COLON = re.compile(r"[A-Za-z_]\s*:\s*$")
 _NAME_NEAR = re.compile("|".join(SECRET_NAMES), re.IGNORECASE)
 _RUN = re.compile("[a-z]{2,}")
 
 FEATURES = (
     "length", "digits", "upper", "lower", "signs", "distinct", "turns", "repeats", "longest_run", "entropy", "hexadecimal",
     "dictionary", "in_path", "assigned", "quoted", "name_near", "words_beside",
+    *(f"beside_{i}" for i in range(SLOTS)),
 )
+#: What the self-labelling rule goes by.
+RULE = ("assigned", "quoted", "name_near")
 _FINDING = T.ArrayType(
     T.StructType()
     .add("start", T.IntegerType())
@@ -122,6 +140,23 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _made_of_words(run: str, words: frozenset[str]) -> bool:
+    """Is a run of lower-case letters a word, or two of them?"""
+    n = len(run)
+    if n > 2 * LETTERS:
+        return False
+    return run in words or any(run[:k] in words and run[k:] in words for k in range(max(2, n - LETTERS), min(LETTERS, n - 2) + 1))
+
+
+def _beside(before: str, after: str) -> list[float]:
+    """Which slots the neighbouring words fall into; names of secrets have a feature of their own."""
+    slots = [0.0] * SLOTS
+    for word in _RUN.findall(before.lower()) + _RUN.findall(after.lower()):
+        if word not in SECRET_NAMES:
+            slots[zlib.crc32(word.encode()) % SLOTS] = 1.0
+    return slots
+
+
 def describe(text: str, start: int, end: int, words: frozenset[str]) -> list[float]:
     """The features of a candidate, in the order of ``FEATURES``."""
     value = text[start:end]
@@ -135,7 +170,7 @@ def describe(text: str, start: int, end: int, words: frozenset[str]) -> list[flo
         run = run + 1 if a == b else 1
         longest = max(longest, run)
     counts = np.unique(list(value), return_counts=True)[1] / n
-    covered = sum(len(r) for r in _RUN.findall(value.lower()) if r in words or any(r[:k] in words and r[k:] in words for k in range(2, len(r) - 1)))
+    covered = sum(len(r) for r in _RUN.findall(value.lower()) if _made_of_words(r, words))
     before, after = text[max(0, start - BESIDE) : start], text[end : end + BESIDE]
     tail = before.rstrip("\"' ")
     return [
@@ -144,14 +179,19 @@ def describe(text: str, start: int, end: int, words: frozenset[str]) -> list[flo
         float(before[-1:] in ("/", "\\", "@") or after[:1] in ("/", "@") or value.count("/") > 1 or "://" in before[-12:]),
         float(tail[-1:] in ("=", ":")), float(before[-1:] in ("'", '"')), float(bool(_NAME_NEAR.search(before))),
         float(len(_RUN.findall(before)) + len(_RUN.findall(after))),
+        *_beside(before, after),
     ]
 
 
 def self_label(text: str, start: int, end: int) -> int | None:
     """1 for a guaranteed format or an assignment to a secret's name, 0 for words, numbers and addresses."""
     value = text[start:end]
-    if _FORMAT.fullmatch(value) or _NAMED.search(text[max(0, start - BESIDE) : start]):
+    if _FORMAT.fullmatch(value):
         return 1
+    before = text[max(0, start - BESIDE) : start]
+    if _NAMED.search(before):
+        # A colon and a plain word are prose as well as an assignment.
+        return 0 if _COLON.search(before) and value.isalpha() and (value.islower() or value.istitle()) else 1
     if value.replace("-", "").replace(".", "").isdigit() or value.replace("-", "").replace("_", "").isalpha() or text[end : end + 1] == "@":
         return 0
     if value.count("/") > 1 or re.fullmatch(r"[A-Za-z]+([._-][A-Za-z]+)+[0-9]{0,4}", value):
@@ -160,9 +200,12 @@ def self_label(text: str, start: int, end: int) -> int | None:
 
 
 def dictionary(docs: DataFrame, text: str = "text", size: int = WORDS) -> DataFrame:
-    """The ``size`` most frequent lower-case words of two or more letters, ties by the word; counts over all texts."""
+    """The ``size`` most frequent lower-case words of 2 to ``LETTERS`` letters, ties by the word; counts over all texts.
+
+    A longer run of letters is no word, and none of its pieces counts as one.
+    """
     words = F.explode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]{2,}"), 0)).alias("word")
-    return docs.select(words).groupBy("word").count().orderBy(F.desc("count"), "word").limit(size).select("word")
+    return docs.select(words).where(F.length("word") <= LETTERS).groupBy("word").count().orderBy(F.desc("count"), "word").limit(size).select("word")
 
 
 def find(docs: DataFrame, words: frozenset[str], text: str = "text", spans: str | None = None) -> DataFrame:
@@ -203,8 +246,12 @@ def secrets(
     doc_id: str = "doc_id",
     text: str = "text",
     threshold: float = THRESHOLD,
+    hidden: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per candidate or judged finding: doc_id, start, end, value, label, probability and is_secret.
+    """One row per candidate or judged finding: doc_id, start, end, value, label, held_out, probability and is_secret.
+
+    ``held_out`` findings have a label that was not learnt from. The forest does not see the features
+    named in ``hidden``.
 
     ``labelled`` (doc_id, start, end, label) are findings that people judged; without it candidates
     label themselves. Spans are code points, end exclusive. Null and empty texts have no candidates;
@@ -227,9 +274,12 @@ def secrets(
         judged = labelled.select("doc_id", "start", "end", F.col("label").alias("_judged")).where("label is not null")
         judged = judged.groupBy("doc_id", "start", "end").agg(F.max("_judged").cast("int").alias("label"))
         rows = rows.drop("label").join(judged, ["doc_id", "start", "end"], "left").select(*rows.columns)
-    rows = rows.withColumn("_vector", array_to_vector("features"))
+    seen = F.array(*[F.col("features")[i] for i, name in enumerate(FEATURES) if name not in hidden])
+    rows = rows.withColumn("_vector", array_to_vector(seen))
+    apart = F.pmod(F.xxhash64("value", F.lit(SEED)), F.lit(KEPT_BACK)) == 0
+    rows = rows.withColumn("held_out", F.col("label").isNotNull() & apart)
     order = F.xxhash64("doc_id", "start", "end", "value")
-    parts = [rows.where(F.col("label") == label).orderBy(order, "doc_id", "start", "end").limit(SAMPLE) for label in (0, 1)]
+    parts = [rows.where((F.col("label") == label) & ~F.col("held_out")).orderBy(order, "doc_id", "start", "end").limit(SAMPLE) for label in (0, 1)]
     learnt = written(parts[0].unionByName(parts[1]).select("label", "_vector"), "secret-sample")
     if learnt.select("label").distinct().count() < 2:
         answer = rows.withColumn("probability", F.col("label").cast("double"))
@@ -240,4 +290,4 @@ def secrets(
         # One partition of a bounded sample: the same trees whatever the cluster.
         model = forest.fit(learnt.coalesce(1))
         answer = model.transform(rows).withColumn("probability", vector_to_array("_probability")[1])
-    return answer.select("doc_id", "start", "end", "value", "label", "probability", (F.col("probability") >= threshold).alias("is_secret"))
+    return answer.select("doc_id", "start", "end", "value", "label", "held_out", "probability", (F.col("probability") >= threshold).alias("is_secret"))
