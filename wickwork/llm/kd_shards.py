@@ -66,8 +66,8 @@ def ranked(rows: DataFrame, name: str) -> DataFrame:
     within = F.col("_at") - F.shiftleft(part, 33)
     ranks = values.join(parts, part == F.col("_part")).select("_value", "_rows", (F.col("_start") + within).alias("_rank"))
     ranks = written(ranks, "shards-ranks")
-    total = ranks.agg(F.sum("_rows").alias("_total"))
-    hot = ranks.join(F.broadcast(total), F.col("_rows") * HOT > F.col("_total")).select(F.col("_value").alias("_hot"), F.col("_rank").alias("_hot_rank"))
+    total = ranks.agg(F.sum("_rows").alias("total")).first()["total"] or 0
+    hot = ranks.where(F.col("_rows") * HOT > total).select(F.col("_value").alias("_hot"), F.col("_rank").alias("_hot_rank"))
     rows = rows.join(F.broadcast(hot), F.col(name) == F.col("_hot"), "left")
     # Rows that need no further look-up are spread over all tasks by keys that match nothing.
     found = F.col("_hot").isNotNull() | F.col(name).isNull()
