@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from wickwork.llm.tables import adding, with_python
+from wickwork.llm.tables import adding, releasing, with_python
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens in each of the cache's two generations.
@@ -185,6 +185,7 @@ def coder(vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN
     """
 
     @F.arrow_udf(CODED)
+    @releasing
     def code(texts: pa.Array) -> pa.Array:
         own = codec(_resolved(vocabulary), pattern)
         flat, ends, decoded = array("i"), array("i", [0]), []

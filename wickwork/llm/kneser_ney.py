@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickwork.llm.tables import free_name, with_python, written
+from wickwork.llm.tables import free_name, releasing, with_python, written
 
 ORDER = 5
 BITS = 12
@@ -81,6 +81,7 @@ def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return distinct, np.bincount(at, np.concatenate([c for _, c in held]), len(distinct)).astype(np.int64)
 
 
+@releasing
 def _counted(batches):
     """(gram, count) of the task's texts; in several parts if there are very many distinct ones."""
     held, size = [], 0
@@ -182,6 +183,7 @@ def perplexities(texts: list[str], keys: np.ndarray, logp: np.ndarray) -> list[f
     return [float(np.exp(-m)) if n else None for m, n in zip(mean, lengths, strict=True)]
 
 
+@releasing
 def _chunked(batches):
     """(chunk, gram): the distinct n-grams of each chunk."""
     for batch in batches:
@@ -204,6 +206,7 @@ def scorer(docs: DataFrame, model: Model, text: str = "text", name: str = "perpl
         shared = spark.sparkContext.broadcast((keys, logp))
 
         @F.arrow_udf(T.DoubleType())
+        @releasing
         def score(column: pa.Array) -> pa.Array:
             return pa.array([p for group in _groups(v.as_py() for v in column) for p in perplexities(group, *shared.value)], pa.float64())
 
@@ -211,6 +214,7 @@ def scorer(docs: DataFrame, model: Model, text: str = "text", name: str = "perpl
 
     chunk = free_name(docs, "_chunk")
 
+    @releasing
     def look_up(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         theirs = theirs.sort_by("gram")
         keys, logp = (theirs.column(c).to_numpy() for c in ("gram", "logp"))

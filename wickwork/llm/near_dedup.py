@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickwork.llm.tables import free_name, with_python, written
+from wickwork.llm.tables import free_name, releasing, with_python, written
 
 BANDS = 48
 ROWS = 6
@@ -125,6 +125,7 @@ def sketches(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "t
     with_python(docs.sparkSession)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), F.col(text).alias("text"))
 
+    @releasing
     def sketch(batches):
         for batch in batches:
             sizes, sets, kept = [], [], []
@@ -145,6 +146,7 @@ def alike(threshold: int):
     """Column function on two sketches and their sizes: may they reach ``threshold`` percent?"""
 
     @F.arrow_udf(T.BooleanType())
+    @releasing
     def may_reach(a: pa.Array, b: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
         if not len(a):
             return pa.array([], pa.bool_())
@@ -166,6 +168,7 @@ def confirmed(width: int, threshold: int):
         return set(zip(*(w[i : len(w) - size + 1 + i] for i in range(size)), strict=True))
 
     @F.arrow_udf(T.BooleanType())
+    @releasing
     def linked(a: pa.Array, b: pa.Array) -> pa.Array:
         out, last, right = [], None, set()
         for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
@@ -316,6 +319,7 @@ def set_of(width: int):
     """Column function: a text's sorted distinct shingle hashes, as bytes."""
 
     @F.arrow_udf(T.BinaryType())
+    @releasing
     def hashes(texts: pa.Array) -> pa.Array:
         return pa.array([shingle_hashes(text.as_py(), width).tobytes() for text in texts], pa.binary())
 
@@ -362,6 +366,7 @@ def _block_links(rows: DataFrame, sets: DataFrame, width: int, threshold: int) -
 
     met = meetings.join(packed(rows.where("label <> main"), "v"), ["key", "v_block"]).join(packed(rows, "m"), ["key", "m_block"])
 
+    @releasing
     def links(batches):
         for batch in batches:
             for i in range(batch.num_rows):

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickwork.llm.tables import adding, with_python
+from wickwork.llm.tables import adding, releasing, with_python
 
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = KINDS[:4]
@@ -183,6 +183,7 @@ def spans_of(texts: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(T.StringType())
+@releasing
 def redact_text(texts: pa.Array) -> pa.Array:
     return pa.array([None if text is None else redacted(text) for text in texts.to_pylist()], pa.string())
 

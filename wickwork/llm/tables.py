@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import inspect
+from collections.abc import Callable
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from wickwork.session import scratch_path, ship_package, use_utc
@@ -34,6 +39,40 @@ def with_python(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def release() -> None:
+    """What this process has freed goes back to the system: Arrow's buffers, then those of the C library (numpy's)."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
+def releasing(function: Callable) -> Callable:
+    """``function`` of a Python worker, with ``release`` after each batch.
+
+    Workers outlive their tasks, and several wait in each executor. Left alone, their allocators
+    keep the most that any task of any stage before has needed, though nothing uses it.
+    """
+    if inspect.isgeneratorfunction(function):
+
+        @wraps(function)
+        def run(batches):
+            for out in function(batches):
+                yield out
+                del out
+                release()
+            release()
+
+    else:
+
+        @wraps(function)
+        def run(*columns):
+            try:
+                return function(*columns)
+            finally:
+                release()
+
+    return run
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened by underscores until no column of ``df`` has it (case aside)."""
     taken = {column.lower() for column in df.columns}
