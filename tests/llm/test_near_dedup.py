@@ -156,3 +156,21 @@ def test_pairs_grow_with_the_documents(spark, docs, monkeypatch):
         assert got == {d: c for d, _, c in brute(rows, 2, 80)}
         totals.append(sum(made))
     assert totals[1] <= 2.3 * totals[0]
+
+
+def test_nothing_is_broadcast(spark, docs, monkeypatch):
+    """Tables that grow with the documents do not pass through the driver, though their files are small here."""
+    plans, write = [], nd.written
+
+    def ran(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(nd, "written", lambda df, name: write(ran(df), name))
+    monkeypatch.setattr(nd, "LARGE", 3)
+    rows = corpus(5, 60)
+    got = ran(nd.near_duplicates(docs(*rows), 2)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows, 2, 80))
+    assert any("SortMergeJoin" in plan for plan in plans)
+    assert [plan for plan in plans if "Broadcast" in plan] == []

@@ -25,6 +25,8 @@ Rows are thus in proportion to the documents. The comparisons of a large bucket
 of its members lie just below the threshold: they grow with its square, shared out over its blocks.
 
 Components come from min-label propagation with pointer jumps, each round a written table.
+
+No join here has a broadcast side: all tables grow with the documents (``shuffled``).
 """
 
 from __future__ import annotations
@@ -182,12 +184,19 @@ def confirmed(width: int, threshold: int):
     return linked
 
 
+def shuffled(looked_up: DataFrame) -> DataFrame:
+    """A side of a join that is not broadcast, however small its files are. Spark goes by their bytes,
+    and neither compression nor rows multiplied since count: labels in 200 KB of files are 46 MB in the
+    driver, once copied for ``SHARES`` tasks and hashed."""
+    return looked_up.hint("merge")
+
+
 def joined(rows: DataFrame, by: str, looked_up: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``rows`` with what ``looked_up`` has under ``key`` for their column ``by``. Many rows may look for
     one key: they go to ``SHARES`` tasks, each of which has a copy of the narrow row found."""
     rows = rows.withColumn("_share", F.pmod(F.xxhash64(*rows.columns), F.lit(SHARES)))
     copies = looked_up.withColumn("_copy", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SHARES)])))
-    return rows.join(copies, (rows[by] == copies[key]) & (rows["_share"] == copies["_copy"]), how).drop("_share", "_copy")
+    return rows.join(shuffled(copies), (rows[by] == copies[key]) & (rows["_share"] == copies["_copy"]), how).drop("_share", "_copy")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -199,7 +208,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # The smallest label around, then the label of that label.
         around = joined(edges, "b", labels, "node").groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(around, labels.node == around.a, "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("near"))
+        lower = labels.join(shuffled(around), labels.node == around.a, "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("near"))
         jumps = labels.select(F.col("node").alias("at"), F.col("label").alias("beyond"))
         after = F.coalesce("beyond", "near")
         nearer = joined(lower, "near", jumps, "at", "left").select("node", after.alias("label"), (after != F.col("label")).alias("moved"))
@@ -242,7 +251,7 @@ def near_duplicates(
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
     bucketed = classes.select("node", "n", F.explode(keys).alias("key"))
     hubs = bucketed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub < _last").drop("_last")
-    shared = written(bucketed.join(hubs, "key"), "dedup-buckets")
+    shared = written(bucketed.join(shuffled(hubs), "key"), "dedup-buckets")
 
     sets = written(_texts(docs, classes, shared, doc_id, text), "dedup-texts")
     sized = classes.select("node", "n", "registers")
@@ -250,10 +259,10 @@ def near_duplicates(
 
     nearest = shared.where("node <> hub").groupBy("node").agg(F.min("hub").alias("first_hub"))
     first = written(link(nearest.select(F.col("node").alias("a"), F.col("first_hub").alias("b"))), "dedup-links")
-    placed = written(_placed(shared, components(first)).join(nearest, "node", "left"), "dedup-placed")
+    placed = written(_placed(shared, components(first)).join(shuffled(nearest), "node", "left"), "dedup-placed")
     hubs = placed.where("node = hub").select("key", F.col("label").alias("hub_label"))
     # Not the pairs looked at already: where these are no links, others of the component may be.
-    star = placed.where("node <> hub and hub <> first_hub").join(hubs, "key").where("label <> hub_label")
+    star = placed.where("node <> hub and hub <> first_hub").join(shuffled(hubs), "key").where("label <> hub_label")
     star = star.groupBy("key", "label", "hub").agg(F.min("node").alias("a")).select("a", F.col("hub").alias("b")).distinct()
     stars = written(first.union(link(star)), "dedup-links")
 
@@ -267,24 +276,24 @@ def near_duplicates(
     )
     visitors, theirs = F.col("members") - F.col("_main.of_label"), F.col("shingles") - F.col("_main.shingles")
     sizes = sizes.where(visitors > 0).select("key", "main", "members", _blocks("members", "shingles").alias("m_blocks"), _blocks(visitors, theirs).alias("v_blocks"))
-    apart = written(placed.join(sizes, "key"), "dedup-apart")
+    apart = written(placed.join(shuffled(sizes), "key"), "dedup-apart")
 
     x, y = (apart.where((F.col("members") <= LARGE) & (F.col("node") != F.col("hub"))).alias(name) for name in "xy")
     close = (F.col("x.n") * threshold <= F.col("y.n") * 100) & (F.col("y.n") * threshold <= F.col("x.n") * 100)
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & close)
+    across = x.join(shuffled(y), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & close)
     across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     # The hub has been compared with one member of each component only.
     hub = apart.where((F.col("members") <= LARGE) & (F.col("node") == F.col("hub"))).select("key", F.col("label").alias("hub_label"))
-    to_hub = apart.where((F.col("members") <= LARGE) & (F.col("node") != F.col("hub"))).join(hub, "key").where("label <> hub_label")
+    to_hub = apart.where((F.col("members") <= LARGE) & (F.col("node") != F.col("hub"))).join(shuffled(hub), "key").where("label <> hub_label")
     pairs = link(across.union(to_hub.select("node", "hub")).distinct())
     blocks = _block_links(apart.where(F.col("members") > LARGE), sets, width, threshold)
     labels = components(stars.union(pairs).union(blocks))
 
-    linked = classes.join(labels, "node").select("node", "_first", "label")
+    linked = classes.join(shuffled(labels), "node").select("node", "_first", "label")
     winners = linked.groupBy("label").agg(F.min("_first").alias("_winner"))
     winners = joined(linked.select("node", "label"), "label", winners.withColumnRenamed("label", "_label"), "_label").select("node", "_winner")
-    decided = classes.join(winners, "node", "left").select("set_hash", F.coalesce("_winner", "_first").alias("_winner"))
-    out = rows.drop("registers").join(decided, "set_hash", "left")
+    decided = classes.join(shuffled(winners), "node", "left").select("set_hash", F.coalesce("_winner", "_first").alias("_winner"))
+    out = rows.drop("registers").join(shuffled(decided), "set_hash", "left")
     alone = F.col("_winner").isNull()
     first = (F.col("_winner.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("_winner.text_hash") == F.col("text_hash"))
     return out.select(
@@ -298,7 +307,7 @@ def near_duplicates(
 
 def _placed(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """``key, node, n, hub, label``: members of buckets with their components."""
-    return shared.join(labels, "node", "left").select("key", "node", "n", "hub", F.coalesce("label", "node").alias("label"))
+    return shared.join(shuffled(labels), "node", "left").select("key", "node", "n", "hub", F.coalesce("label", "node").alias("label"))
 
 
 def _blocks(members, shingles):
@@ -309,9 +318,9 @@ def _blocks(members, shingles):
 
 def _texts(docs: DataFrame, classes: DataFrame, shared: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``node, text`` of the classes that share a bucket with another."""
-    wanted = classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("_first.doc_id").alias("_id"), F.col("_first.text_hash").alias("_hash"))
+    wanted = classes.join(shuffled(shared.select("node").distinct()), "node", "left_semi").select("node", F.col("_first.doc_id").alias("_id"), F.col("_first.text_hash").alias("_hash"))
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), F.col(text).alias("text"))
-    found = plain.join(wanted, (plain.text_hash == wanted._hash) & plain.doc_id.eqNullSafe(wanted._id))
+    found = plain.join(shuffled(wanted), (plain.text_hash == wanted._hash) & plain.doc_id.eqNullSafe(wanted._id))
     return found.select("node", "text").dropDuplicates(["node"])
 
 
@@ -351,18 +360,18 @@ def _block_links(rows: DataFrame, sets: DataFrame, width: int, threshold: int) -
     blocks; of a visitor's links to one component in one block, one is enough. Pairs of blocks, not
     buckets, are dealt to tasks.
     """
-    wanted = sets.join(rows.select("node").distinct(), "node", "left_semi")
+    wanted = sets.join(shuffled(rows.select("node").distinct()), "node", "left_semi")
     sets = written(wanted.select("node", set_of(width)("text").alias("set")), "dedup-sets")
     meetings = rows.where("label <> main").select("key", "v_blocks", "m_blocks").distinct()
     for side in "vm":
         meetings = meetings.withColumn(f"{side}_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{side}_blocks") - 1)))
     meetings = meetings.drop("v_blocks", "m_blocks")
-    rows = rows.join(sets, "node")
+    rows = rows.join(shuffled(sets), "node")
 
     def packed(some: DataFrame, name: str) -> DataFrame:
         block = F.pmod(F.xxhash64("node"), F.col(f"{name}_blocks")).alias(f"{name}_block")
         some = some.groupBy("key", block).agg(F.collect_list(F.struct("node", "label", "set")).alias("rows"))
-        return some.select("key", f"{name}_block", *[F.col(f"rows.{c}").alias(f"{name}_{c}") for c in ("node", "label", "set")])
+        return shuffled(some.select("key", f"{name}_block", *[F.col(f"rows.{c}").alias(f"{name}_{c}") for c in ("node", "label", "set")]))
 
     met = meetings.join(packed(rows.where("label <> main"), "v"), ["key", "v_block"]).join(packed(rows, "m"), ["key", "m_block"])
 
@@ -389,7 +398,7 @@ class _Linker:
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         def side(frame: DataFrame, end: str) -> DataFrame:
-            return frame.select(*[F.col(c).alias(end if c == "node" else f"{c}_{end}") for c in frame.columns])
+            return shuffled(frame.select(*[F.col(c).alias(end if c == "node" else f"{c}_{end}") for c in frame.columns]))
 
         t = self.threshold
         pairs = pairs.join(side(self.sized, "a"), "a").join(side(self.sized, "b"), "b")
